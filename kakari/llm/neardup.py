@@ -7,8 +7,10 @@ Arrivals are made in order of time, and an element stops once its next one lies
 the document is filled.
 
 Registers are cut into bands. Documents that agree in a band share a bucket. Buckets aren't compared all against all: each
-member is compared with the bucket's least document, by exact J_P; those that fail stay in the bucket without that
-document, and the rounds go on until no bucket holds two. So a group of thousands costs its size, and no pair is dropped.
+member is compared with the bucket's least document, by exact J_P, and those that reach the threshold leave, as does that
+document. So a group of thousands costs its size. What is left goes on in rounds with LEADERS, LEADERS^2, ... documents of each
+bucket as leaders, so that a bucket of n unlike documents takes log n rounds; there a pair is verified exactly only if the
+share of registers in which it agrees lies at most 3.3 standard deviations below the threshold. No bucket is cut short.
 The verified edges' connected components are the groups; the least document of each is its representative.
 """
 
@@ -23,6 +25,7 @@ from kakari.llm.kernels import U, blocks, mix, owners, segment_sum, shingles, wo
 from kakari.llm.util import cut, fresh, pick
 
 NODE = "struct(doc_id, h)"
+LEADERS = 8
 
 
 def weighted(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,19 +79,39 @@ def probminhash(text: np.ndarray, elem: np.ndarray, weight: np.ndarray, n: int,
 
 
 def sign(k: int, bands: int, rows: int):
-    """The mapInArrow function over (doc_id, h, text): doc_id, h and the hash of each band of the documents with words."""
+    """The mapInArrow function over (doc_id, h, text): doc_id, h, the hash of each band and 16 bits of each register, of the documents with words."""
 
     def run(batches):
         for batch in blocks(batches, 2):
-            n = batch.num_rows
-            registers, some = probminhash(*weighted(batch.column(2), k), n, bands * rows)
+            n, m = batch.num_rows, bands * rows
+            registers, some = probminhash(*weighted(batch.column(2), k), n, m)
             keys = np.zeros((n, bands), U)
             for r in range(rows):
                 keys = mix(keys ^ registers.reshape(n, bands, rows)[:, :, r], 5)
             keys = mix(keys + np.arange(bands, dtype=U)[None, :], 7)[some]
             own = batch.filter(pa.array(some))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists], ["doc_id", "h", "bands"])
+            short = np.ascontiguousarray((mix(registers[some], 11) >> U(48)).astype(np.uint16))
+            sigs = pa.Array.from_buffers(pa.binary(2 * m), len(short), [None, pa.py_buffer(short.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists, sigs], ["doc_id", "h", "bands", "sig"])
+
+    return run
+
+
+def proposals(leaders: int, least: float):
+    """The applyInArrow function over one bucket (key, node, place, sig): pairs of its first `leaders` members with all after them that agree in `least` of the registers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("place")
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(min(leaders, len(sigs) - 1)):
+            hit = np.flatnonzero((sigs[i + 1 :] == sigs[i]).mean(1) >= least) + i + 1
+            left.append(np.full(len(hit), i))
+            right.append(hit)
+        a, b = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
+        node = table.column("node")
+        return pa.table([table.column("key").take(a), node.take(a), node.take(b)], names=["key", "a", "b"])
 
     return run
 
@@ -152,28 +175,38 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def edges(docs: DataFrame, k: int, bands: int, rows: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The verified pairs (a, b, similarity) of distinct (doc_id, text hash) nodes, and the signed rows (doc_id, h, bands)."""
+    """The verified pairs (a, b, similarity) of distinct (doc_id, text hash) nodes, and the signed rows (doc_id, h, bands, sig)."""
     kinds = dict(docs.dtypes)
+    kind = f"struct<doc_id:{kinds['doc_id']},h:bigint>"
     texts = hashed(docs)
-    signed = cut(texts.select("doc_id", "h", "text").mapInArrow(sign(k, bands, rows), f"doc_id {kinds['doc_id']}, h long, bands array<long>"))
+    signed = cut(texts.select("doc_id", "h", "text").mapInArrow(sign(k, bands, rows), f"doc_id {kinds['doc_id']}, h long, bands array<long>, sig binary"))
     band = signed.select(F.explode("bands").alias("key"), F.expr(NODE).alias("node"))
     w = Window.partitionBy("key")
-    rest = cut(band.distinct().select("key", "node", F.min("node").over(w).alias("lead"), F.count("*").over(w).alias("n")).where("n > 1").drop("n"))
-    held = rest.select("node.doc_id", "node.h").distinct()
+    first = cut(band.distinct().select("key", "node", F.min("node").over(w).alias("lead"), F.count("*").over(w).alias("n")).where("n > 1 and node != lead").drop("n"))
+    held = first.select(F.explode(F.array("node", "lead")).alias("x")).select("x.doc_id", "x.h").distinct()
     same = texts.doc_id.eqNullSafe(held.doc_id) & (texts.h == held.h)
     held = cut(texts.join(held, same, "left_semi").dropDuplicates(["doc_id", "h"]).select(F.expr(NODE).alias("node"), "text"))
-    found = None
-    while not rest.isEmpty():
-        pairs = rest.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
         full = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        kind = f"struct<doc_id:{kinds['doc_id']},h:bigint>"
-        good = cut(full.select("a", "b", "text_a", "text_b").mapInArrow(verify(k, threshold), f"a {kind}, b {kind}, similarity double"))
-        found = good if found is None else found.unionByName(good)
-        left = rest.where("node != lead").join(good.select(F.col("a").alias("lead"), F.col("b").alias("node")), ["lead", "node"], "left_anti")
-        rest = cut(left.select("key", "node", F.min("node").over(w).alias("lead"), F.count("*").over(w).alias("n")).where("n > 1").drop("n"))
-    if found is None:
-        kind = f"struct<doc_id:{kinds['doc_id']},h:bigint>"
-        found = docs.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")
+        return cut(full.select("a", "b", "text_a", "text_b").mapInArrow(verify(k, threshold), f"a {kind}, b {kind}, similarity double"))
+
+    def several(members: DataFrame) -> DataFrame:
+        return cut(members.select("key", "node", F.row_number().over(w.orderBy("node")).alias("place"), F.count("*").over(w).alias("n")).where("n > 1").drop("n"))
+
+    tried = cut(first.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    found = verified(tried)
+    rest = several(first.join(found.select(F.col("a").alias("lead"), F.col("b").alias("node")), ["lead", "node"], "left_anti"))
+    sigs = signed.select(F.expr(NODE).alias("node"), "sig").dropDuplicates(["node"])
+    least = threshold - 3.3 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+    leaders = LEADERS
+    while not rest.isEmpty():
+        proposed = cut(rest.join(sigs, "node").groupBy("key").applyInArrow(proposals(leaders, least), f"key long, a {kind}, b {kind}"))
+        new = cut(proposed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        tried, found = tried.unionByName(new), found.unionByName(verified(new))
+        gone = proposed.join(found, ["a", "b"], "left_semi").select("key", F.col("b").alias("node"))
+        rest = several(rest.where(F.col("place") > leaders).join(gone, ["key", "node"], "left_anti"))
+        leaders *= LEADERS
     return found, signed
 
 
