@@ -167,7 +167,7 @@ def oracle_sql() -> dict[str, str]:
     pick = lambda t, a, b: f"list_transform(list_filter({t}.fs, lambda x: x[1] = '{a}'), lambda x: '{b}' || x[2:])"
     pos = "array_to_string(list_filter(string_split(feature, ',')[1:4], lambda x: x <> '*'), '-')"
     inst = f"{MODEL}, {_INST}"
-    tag = "regexp_replace(regexp_replace(sentence, '[<>]', '', 'g'), '\\b([A-Z][a-z]+)\\b', chr(1) || '\\1' || chr(2), 'g')"
+    tag = "regexp_replace(regexp_replace(sentence, '[<>]', '', 'g'), '(^| )([A-Z][a-z]+)([ .,])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g')"
     align = """whole AS (SELECT doc_id, line, chunk_id, link, sum(length) OVER (PARTITION BY doc_id, line ORDER BY chunk_id) AS stop FROM (SELECT l.doc_id, l.line, l.chunk_id, l.link, sum(length(t.surface)) AS length FROM linked l JOIN tk t USING (doc_id, line, chunk_id) GROUP BY ALL)),
       pairs AS (SELECT doc_id, line, CAST(i // 2 AS INTEGER) AS tok_id, max(stop) AS stop FROM (SELECT doc_id, line, i, sum(length(surface)) OVER (PARTITION BY doc_id, line ORDER BY i) AS stop FROM tk) GROUP BY ALL),
       made AS MATERIALIZED (SELECT doc_id, line, CAST(row_number() OVER s - 1 AS INTEGER) AS new_id, link AS was, chunk_id AS src, coalesce(lag(tok_id) OVER s, -1) + 1 AS first_tok, tok_id FROM whole JOIN pairs USING (doc_id, line, stop) WINDOW s AS (PARTITION BY doc_id, line ORDER BY stop)),

@@ -290,7 +290,7 @@ def blank_to_csv(spark, sf_dir):
 
 def inline_to_iob(spark, sf_dir):
     """Capitalised words of documents as inline tags, read as spans and set on the tokens by place."""
-    marked = F.regexp_replace(F.regexp_replace("sentence", "[<>]", ""), "\\b([A-Z][a-z]+)\\b", "<PERSON>$1</PERSON>")
+    marked = F.regexp_replace(F.regexp_replace("sentence", "[<>]", ""), "(^| )([A-Z][a-z]+)([ .,])", "$1<PERSON>$2</PERSON>$3")
     df = sentences(spark, sf_dir).select(*KEYS, convert.inline_spans(marked).alias("x"))
     tagged = lambda x: T.let(words(x["sentence"]), lambda w: F.arrays_zip(w.alias("surface"), convert.span_tags(w, x["spans"]).alias("ne")))
     return df.select(*KEYS, F.posexplode(T.let(F.col("x"), tagged)).alias("tok_id", "t")).select(*KEYS, "tok_id", "t.surface", "t.ne")
