@@ -42,8 +42,8 @@ def to_ids(rows: DataFrame, dic: DataFrame, *keys: str, features: str = "feature
 
     keys tell rows apart. The dictionary is joined by feature; AQE broadcasts it where it is small enough.
     """
-    pieces = rows.select(*keys, F.explode(F.array_distinct(features)).alias("feature"))
-    found = pieces.join(dic.select("feature", "id"), "feature").groupBy(*keys).agg(F.sort_array(F.collect_set("id")).alias("x"))
+    pieces = rows.select(*keys, F.explode(F.array_distinct(features)).alias("__f"))
+    found = pieces.join(dic.select(F.col("feature").alias("__f"), F.col("id").alias("__n")), "__f").groupBy(*keys).agg(F.sort_array(F.collect_set("__n")).alias("x"))
     return rows.select(*keys).join(found, list(keys), "left").withColumn("x", F.coalesce("x", F.array().cast("array<int>")))
 
 

@@ -47,9 +47,8 @@ def pair_features(chunks: Column, src: Column, dst: Column, src_children: Column
     parts = [F.array(distance(src, dst)), relabel(role(own(src), "F"), "S"), relabel(role(own(dst), "F"), "D")]
     parts.append(F.when(src > 0, role(own(src - 1), "L")).otherwise(no_strings()))
     parts.append(F.when(dst < F.size(chunks) - 1, role(own(dst + 1), "R")).otherwise(no_strings()))
-    for children, letter in ((src_children, "a"), (dst_children, "A")):
-        if children is not None:
-            parts.append(F.flatten(F.transform(children, lambda k, letter=letter: relabel(role(own(k), "A"), letter))))
+    seen = lambda children, letter: F.flatten(F.transform(children, lambda k: relabel(role(own(k), "A"), letter)))
+    parts += [seen(children, letter) for children, letter in ((src_children, "a"), (dst_children, "A")) if children is not None]
     parts.append(gap_features(chunks, src, dst))
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 

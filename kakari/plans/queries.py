@@ -32,8 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores: where a scan gives fewer partitions than there are cores, rows are shuffled once before the work on them; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
+
+
 def sentences(spark, sf_dir):
-    return sentences_of(table(spark, sf_dir, "documents"))
+    return sentences_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def tokens(spark, sf_dir):

@@ -60,7 +60,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
 
     sf, names = sys.argv[1], sys.argv[2:]
-    spark = SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "6").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").config("spark.driver.host", "127.0.0.1").config("spark.driver.maxResultSize", "4g").getOrCreate()
+    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "6").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").config("spark.driver.host", "127.0.0.1").config("spark.driver.maxResultSize", "4g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = oracle(sf), entry.oracle_sql(), 0
     for n, q in entry.queries().items():
