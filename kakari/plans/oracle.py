@@ -244,7 +244,7 @@ def oracle_sql() -> dict[str, str]:
         "read_layer_blocks": _with(chunks, RULE) + "SELECT doc_id, line, chunk_id, true AS is_valid, link, head_pos, func_pos, token_pos, token_size FROM linked",
         "iob_repair": _with(tokens, _tags(1)) + "SELECT doc_id, line, i AS tok_id, ne FROM tags1",
         "iob_spans": _with(tokens, _tags(1)) + "SELECT doc_id, line, category, start, size FROM spans1",
-        "numeral_runs": _with(tokens) + f"SELECT doc_id, line, CAST(row_number() OVER (PARTITION BY doc_id, line ORDER BY i) - 1 AS INTEGER) AS row, i AS tok_id, surface, pos FROM (SELECT *, {pos} AS pos, starts_with(feature, '{IPA.numeral}') AND coalesce(lag(starts_with(feature, '{IPA.numeral}')) OVER (PARTITION BY doc_id, line ORDER BY i), false) AS tail FROM tk) WHERE NOT tail",
+        "numeral_runs": _with(tokens) + f"SELECT doc_id, line, CAST(row_number() OVER (PARTITION BY doc_id, line ORDER BY i) - 1 AS INTEGER) AS row, i AS tok_id, norm AS surface, pos FROM (SELECT *, {pos} AS pos, starts_with(feature, '{IPA.numeral}') AND coalesce(lag(starts_with(feature, '{IPA.numeral}')) OVER (PARTITION BY doc_id, line ORDER BY i), false) AS tail FROM tk) WHERE NOT tail",
         "eval_dep": _with(chunks, dep),
         "eval_chunk": _with(chunks, evc),
         "eval_ne": _with(tokens, _tags(1), _tags(2), evn),
