@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kakari.checkpoint import cut
 from kakari.functions.patterns import NOUN, PARTICLE, SYMBOL, VERB
-from kakari.functions.text import csv_escape, let, normalize, split_csv
+from kakari.functions.text import ODD, csv_escape, let, normalize, split_csv
 from kakari.schema import token
 
 WORD = "[A-Za-zÀ-ɏ]+|[0-9]+|[^ \\t\\r\\n]"
@@ -45,7 +45,10 @@ def words(sentence: Column) -> Column:
 
 def tokenize(df: DataFrame, sentence: str = "sentence") -> DataFrame:
     """df with `tokens`, one for each word, run of digits or other sign of the sentence; a null sentence has none. No shuffle."""
-    return df.withColumn("tokens", F.transform(words(F.col(sentence)), lambda w: let(part_of_speech(w), lambda f: make_token(w, f))))
+    # whether anything is to be normalised is found once for the sentence
+    seen = F.struct(words(F.col(sentence)).alias("words"), F.coalesce(F.col(sentence).rlike(f"[{ODD}\u3000]"), F.lit(False)).alias("odd"))
+    made = lambda w, f, odd: token(w, F.when(odd, normalize(w)).otherwise(w), f, split_csv(f))
+    return df.withColumn("tokens", let(seen, lambda s: F.transform(s["words"], lambda w: let(part_of_speech(w), lambda f: made(w, f, s["odd"])))))
 
 
 def tokenize_with(df: DataFrame, lexicon: DataFrame, sentence: str = "sentence", unknown: str = f"{NOUN},一般,*,*,*,*,*", max_broadcast_bytes: int = 64 << 20) -> DataFrame:
