@@ -12,52 +12,40 @@ from kakari.plans.pipeline import Parser, plan
 from kakari.schema import tokens_of
 from kakari.sources.layers import read_layer, split_blocks
 
-G1 = """* 0 5D 0/1 1.062087
-太郎\t名詞,固有名詞,人名,名,*,*,太郎,タロウ,タロー
-は\t助詞,係助詞,*,*,*,*,は,ハ,ワ
-* 1 2D 0/1 1.821210
-花子\t名詞,固有名詞,人名,名,*,*,花子,ハナコ,ハナコ
-が\t助詞,格助詞,一般,*,*,*,が,ガ,ガ
-* 2 3D 0/2 0.000000
-読ん\t動詞,自立,*,*,五段・マ行,連用タ接続,読む,ヨン,ヨン
-で\t助詞,接続助詞,*,*,*,*,で,デ,デ
-いる\t動詞,非自立,*,*,一段,基本形,いる,イル,イル
-* 3 5D 0/1 0.000000
-本\t名詞,一般,*,*,*,*,本,ホン,ホン
-を\t助詞,格助詞,一般,*,*,*,を,ヲ,ヲ
-* 4 5D 1/2 0.000000
-次\t名詞,一般,*,*,*,*,次,ツギ,ツギ
-郎\t名詞,一般,*,*,*,*,郎,ロウ,ロー
-に\t助詞,格助詞,一般,*,*,*,に,ニ,ニ
-* 5 -1D 0/1 0.000000
-渡し\t動詞,自立,*,*,五段・サ行,連用形,渡す,ワタシ,ワタシ
-た\t助動詞,*,*,*,特殊・タ,基本形,た,タ,タ
-"""
-TREE = """    太郎は---------D
-      花子が-D     |
-    読んでいる-D   |
-            本を---D
-            次郎に-D
-              渡した
-EOS
-"""
-G2 = """* 0 1D 0/1 1.230433
-太郎\t名詞,固有名詞,人名,名\tB-PERSON
-と\t助詞,並立助詞,*,*\tO
-* 1 4D 0/1 0.830090
-花子\t名詞,固有名詞,人名,名\tB-PERSON
-は\t助詞,係助詞,*,*\tO
-* 2 3D 1/1 0.381847
-2003\t名詞,数,*,*\tB-DATE
-年\t名詞,接尾,助数詞,*\tI-DATE
-* 3 4D 0/1 0.000000
-奈良先端大\t名詞,固有名詞,組織,*\tB-ORGANIZATION
-を\t助詞,格助詞,一般,*\tO
-* 4 -1D 1/2 0.000000
-卒業\t名詞,サ変接続,*,*\tO
-し\t動詞,自立,*,*\tO
-た\t助動詞,*,*,*\tO
-"""
+
+def built(chunks):
+    """A block from (link, head, func, score, tokens); a token is surface/level.level.../type.form/lemma.readings[/tag], all but the surface filled up."""
+    out = []
+    for i, (link, head, func, score, tokens) in enumerate(chunks):
+        out.append(f"* {i} {link}D {head}/{func} {score:.6f}")
+        for t in tokens.split():
+            surface, levels, form, lemma, *tag = t.split("/")
+            fields = (levels.split(".") + ["*"] * 4)[:4] + (form.split(".") if form else ["*", "*"] if lemma else []) + (lemma.split(".") if lemma else [])
+            out.append("\t".join([surface, ",".join(fields), *tag]))
+    return "\n".join(out) + "\n"
+
+
+G1 = built(
+    [
+        (5, 0, 1, 1.062087, "太郎/名詞.固有名詞.人名.名//太郎.タロウ.タロー は/助詞.係助詞//は.ハ.ワ"),
+        (2, 0, 1, 1.82121, "花子/名詞.固有名詞.人名.名//花子.ハナコ.ハナコ が/助詞.格助詞.一般//が.ガ.ガ"),
+        (3, 0, 2, 0, "読ん/動詞.自立/五段・マ行.連用タ接続/読む.ヨン.ヨン で/助詞.接続助詞//で.デ.デ いる/動詞.非自立/一段.基本形/いる.イル.イル"),
+        (5, 0, 1, 0, "本/名詞.一般//本.ホン.ホン を/助詞.格助詞.一般//を.ヲ.ヲ"),
+        (5, 1, 2, 0, "次/名詞.一般//次.ツギ.ツギ 郎/名詞.一般//郎.ロウ.ロー に/助詞.格助詞.一般//に.ニ.ニ"),
+        (-1, 0, 1, 0, "渡し/動詞.自立/五段・サ行.連用形/渡す.ワタシ.ワタシ た/助動詞/特殊・タ.基本形/た.タ.タ"),
+    ]
+)
+#: Indent, chunk, dashes and what follows them.
+TREE = "".join(" " * pad + text + "-" * n + rest + "\n" for pad, text, n, rest in ((4, "太郎は", 9, "D"), (6, "花子が", 1, "D     |"), (4, "読んでいる", 1, "D   |"), (12, "本を", 3, "D"), (12, "次郎に", 1, "D"), (14, "渡した", 0, ""), (0, "EOS", 0, "")))
+G2 = built(
+    [
+        (1, 0, 1, 1.230433, "太郎/名詞.固有名詞.人名.名///B-PERSON と/助詞.並立助詞///O"),
+        (4, 0, 1, 0.83009, "花子/名詞.固有名詞.人名.名///B-PERSON は/助詞.係助詞///O"),
+        (3, 1, 1, 0.381847, "2003/名詞.数///B-DATE 年/名詞.接尾.助数詞///I-DATE"),
+        (4, 0, 1, 0, "奈良先端大/名詞.固有名詞.組織///B-ORGANIZATION を/助詞.格助詞.一般///O"),
+        (-1, 1, 2, 0, "卒業/名詞.サ変接続///O し/動詞.自立///O た/助動詞///O"),
+    ]
+)
 
 
 def blocks(spark, *texts):
