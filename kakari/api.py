@@ -72,7 +72,7 @@ def evaluate_files(spark: SparkSession, system: str, gold: str, what: str = "dep
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions k_normalize, k_width, k_shape, k_csv, as SQL definitions, so that they stay in the JVM."""
+    """SQL functions k_width and k_lower, as SQL definitions, so that they stay in the JVM."""
     body = {"k_width": "2 * char_length(x) - char_length(regexp_replace(x, '[^\\\\x00-\\\\x7F]', ''))", "k_lower": f"translate(x, '{''.join(chr(c) for c in range(65, 91))}', '{''.join(chr(c) for c in range(97, 123))}')"}
     for name, sql in body.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {'INT' if name == 'k_width' else 'STRING'} RETURN {sql}")
