@@ -1,9 +1,10 @@
 """Text of web pages without their site's template.
 
 A page is parsed into elements; each element's subtree (tags, attributes, texts, in order) has a hash. Hashes are counted by
-host in Spark, each once a page. A subtree found on at least min_pages pages of a host, and on at least min_share of them,
-belongs to the site's template, and every page of the host loses it. What is left is given as text, with line breaks between
-blocks. script, style, template, noscript and head don't count as text.
+host in Spark, each once a page. A subtree found on at least min_pages pages of a host whose texts differ belongs to the
+site's template, however large the host is, and every page of the host loses it. Pages of one host with the same text count
+once, so copies of a page don't make its article a template. What is left is given as text, with line breaks between blocks.
+script, style, template, noscript and head don't count as text.
 """
 
 from __future__ import annotations
@@ -117,14 +118,18 @@ def host() -> Column:
 
 
 def count_subtrees(batches):
-    """(host, h) of the distinct subtrees of each page."""
+    """(host, key, content, h) of the distinct subtrees of each page (host, html, key), content being the hash of its text."""
     for batch in batches:
-        hosts, pages, rows = batch.column(0).to_pylist(), batch.column(1), ([], [])
+        hosts, pages, keys, rows = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), ([], [], [], [])
         for i, at in enumerate(hosts):
-            own = sorted(set(hashed(parse((pages[i].as_py() or "").replace("\x00", " ")))))
+            root = parse((pages[i].as_py() or "").replace("\x00", " "))
+            own = sorted(set(hashed(root)))
             rows[0].extend([at] * len(own))
-            rows[1].extend(own)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(np.array(rows[1], np.uint64).view(np.int64))], ["host", "h"])
+            rows[1].extend([keys[i]] * len(own))
+            rows[2].extend([xxhash.xxh3_64_intdigest(text_of(root, ())[0])] * len(own))
+            rows[3].extend(own)
+        signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in rows[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), *signed], ["host", "key", "content", "h"])
 
 
 def strip(template):
@@ -146,19 +151,19 @@ def strip(template):
     return run
 
 
-def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.2, max_broadcast: int = 4_000_000) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 3, max_broadcast: int = 4_000_000) -> DataFrame:
     """One row for each row of pages: page_id, host, text, n_removed (template subtrees deleted, the outermost ones).
 
     pages has page_id, url and html; other columns are ignored. Up to max_broadcast template subtrees are broadcast; more are joined to
-    the pages by host. Defined results: a null html gives a null text, an empty one an empty text. A url without a host, and a null
-    one, has a null host, whose pages have no template. Repeated rows are pages of their own and count as such. Unclosed
+    the subtrees of each page, so no page is sent those of the others. Defined results: a null html gives a null text, an empty one an empty text. A url without a host, and a null
+    one, has a null host, whose pages have no template. Repeated rows each give their row; pages of a host whose texts are equal count as one page. Unclosed
     and stray tags are taken as browsers would, roughly; an empty table gives an empty result.
     """
     own = pages.select("page_id", host().alias("host"), "html")
-    known = own.where("host is not null")
-    sizes = known.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = known.select("host", "html").mapInArrow(count_subtrees, "host string, h long").groupBy("host", "h").count().where(F.col("count") >= min_pages)
-    template = cut(counts.join(sizes, "host").where(F.col("count") >= F.col("pages") * min_share).select("host", "h"))
+    known = own.where("host is not null").select("host", "html", F.xxhash64("html").alias("key"))
+    subtrees = known.mapInArrow(count_subtrees, "host string, key long, content long, h long")
+    seen = subtrees.select("host", "h", "content").distinct().groupBy("host", "h").count()
+    template = cut(seen.where(F.col("count") >= min_pages).select("host", "h"))
     kind = dict(pages.dtypes)["page_id"]
     schema = f"page_id {kind}, host string, text string, n_removed int"
     if template.count() <= max_broadcast:
@@ -166,5 +171,6 @@ def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.2, max_br
         for r in template.toArrow().to_pylist():
             by_host.setdefault(r["host"], set()).add(r["h"] & 0xFFFFFFFFFFFFFFFF)
         return own.mapInArrow(strip(pages.sparkSession.sparkContext.broadcast(by_host)), schema)
-    lists = template.groupBy(F.col("host").alias("other")).agg(F.collect_list("h").alias("template"))
-    return own.join(lists, F.col("host") == F.col("other"), "left").select("page_id", "host", "html", "template").mapInArrow(strip(None), schema)
+    lists = subtrees.select("host", "key", "h").join(template, ["host", "h"]).groupBy(F.col("host").alias("other"), F.col("key").alias("page")).agg(F.collect_set("h").alias("template"))
+    same = (F.col("host") == F.col("other")) & (F.xxhash64("html") == F.col("page"))
+    return own.join(lists, same, "left").select("page_id", "host", "html", "template").mapInArrow(strip(None), schema)
