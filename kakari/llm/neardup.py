@@ -7,11 +7,13 @@ Arrivals are made in order of time, and an element stops once its next one lies
 the document is filled.
 
 Registers are cut into bands. Documents that agree in a band share a bucket. Buckets aren't compared all against all: each
-member is compared with the bucket's least document, by exact J_P, and those that reach the threshold leave, as does that
-document. So a group of thousands costs its size. What is left goes on in rounds with LEADERS, LEADERS^2, ... documents of each
-bucket as leaders, so that a bucket of n unlike documents takes log n rounds; there a pair is verified exactly only if the
-share of registers in which it agrees lies at most 3.3 standard deviations below the threshold. No bucket is cut short.
-The verified edges' connected components are the groups; the least document of each is its representative.
+member is compared with the bucket's least document, by exact J_P, and that document is done. Rounds follow with LEADERS,
+LEADERS^2, ... members of each bucket as leaders, each compared with all members that haven't led yet. A member is done only
+when it has led: one that matched a leader still meets those that didn't. A bucket is done when all that haven't led lie in one
+connected component of the pairs found so far, so a group of thousands costs its size, and one of n unlike documents takes
+log n rounds. Leaders are taken from every component in turn, and pairs within one are skipped. In the rounds a pair is verified
+exactly only if the share of registers in which it agrees lies at most 3.3 standard deviations below the threshold. No bucket is
+cut short. The verified edges' connected components are the groups; the least document of each is its representative.
 """
 
 from __future__ import annotations
@@ -99,14 +101,16 @@ def sign(k: int, bands: int, rows: int):
 
 
 def proposals(leaders: int, least: float):
-    """The applyInArrow function over one bucket (key, node, place, sig): pairs of its first `leaders` members with all after them that agree in `least` of the registers."""
+    """The applyInArrow function over one bucket (key, node, label, place, sig): pairs of its first `leaders` members with all after them that have another label and agree in `least` of the registers."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("place")
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        root = table.column("label").to_numpy()
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(min(leaders, len(sigs) - 1)):
-            hit = np.flatnonzero((sigs[i + 1 :] == sigs[i]).mean(1) >= least) + i + 1
+            other = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+            hit = other[(sigs[other] == sigs[i]).mean(1) >= least]
             left.append(np.full(len(hit), i))
             right.append(hit)
         a, b = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
@@ -156,8 +160,28 @@ def verify(k: int, threshold: float):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of the connected component of every node of edges (a, b), by minimum labels and pointer jumps."""
+def few_components(edges: DataFrame) -> DataFrame:
+    """components() of so few edges that the driver holds them."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    # null sorts first, as in Spark
+    for e in edges.toArrow().to_pylist():
+        a, b = (top((e[c]["doc_id"] is not None, e[c]["doc_id"], e[c]["h"])) for c in "ab")
+        up[max(a, b)] = min(a, b)
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(x[1:], top(x)[1:]) for x in list(up)], f"node {kind}, root {kind}")
+
+
+def components(edges: DataFrame, max_driver: int = 100_000) -> DataFrame:
+    """(node, root): the least node of the connected component of every node of edges (a, b), by minimum labels and pointer jumps beyond max_driver edges."""
+    edges = cut(edges.select("a", "b"))
+    if edges.count() <= max_driver:
+        return few_components(edges)
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")))
     while True:
@@ -170,12 +194,21 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """labels (node, root) after the edges new (a, b), which are looked at between components only."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    between = new.select("a", "b").join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b").distinct()
+    up = components(between)
+    moved = labels.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return cut(moved.unionByName(up.join(labels.select("node"), "node", "left_anti").select("node", "root")))
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     return pick(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
-def edges(docs: DataFrame, k: int, bands: int, rows: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The verified pairs (a, b, similarity) of distinct (doc_id, text hash) nodes, and the signed rows (doc_id, h, bands, sig)."""
+def groups(docs: DataFrame, k: int, bands: int, rows: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the distinct (doc_id, text hash) nodes that are in a verified pair, and the signed rows (doc_id, h, bands, sig)."""
     kinds = dict(docs.dtypes)
     kind = f"struct<doc_id:{kinds['doc_id']},h:bigint>"
     texts = hashed(docs)
@@ -191,23 +224,30 @@ def edges(docs: DataFrame, k: int, bands: int, rows: int, threshold: float) -> t
         full = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return cut(full.select("a", "b", "text_a", "text_b").mapInArrow(verify(k, threshold), f"a {kind}, b {kind}, similarity double"))
 
-    def several(members: DataFrame) -> DataFrame:
-        return cut(members.select("key", "node", F.row_number().over(w.orderBy("node")).alias("place"), F.count("*").over(w).alias("n")).where("n > 1").drop("n"))
+    def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """members (key, node) of the buckets in which they lie in several components: with label, the component's number in the bucket, and place, in turns of the components."""
+        roots = members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        # the same text in the same component and bucket is there once
+        once = roots.groupBy("key", "root", F.col("node.h").alias("h")).agg(F.min("node").alias("node"))
+        mixed = once.withColumn("most", F.max("root").over(w)).withColumn("least", F.min("root").over(w)).where("most != least")
+        turns = mixed.select("key", "node", "root", F.row_number().over(Window.partitionBy("key", "root").orderBy("node")).alias("turn"))
+        label = F.dense_rank().over(w.orderBy("root")).alias("label")
+        return cut(turns.select("key", "node", label, "turn").select("key", "node", "label", F.row_number().over(w.orderBy("turn", "node")).alias("place")))
 
     tried = cut(first.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    found = verified(tried)
-    rest = several(first.join(found.select(F.col("a").alias("lead"), F.col("b").alias("node")), ["lead", "node"], "left_anti"))
+    labels = components(verified(tried))
+    rest = unsettled(first.select("key", "node"), labels)
     sigs = signed.select(F.expr(NODE).alias("node"), "sig").dropDuplicates(["node"])
     least = threshold - 3.3 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     leaders = LEADERS
     while not rest.isEmpty():
-        proposed = cut(rest.join(sigs, "node").groupBy("key").applyInArrow(proposals(leaders, least), f"key long, a {kind}, b {kind}"))
-        new = cut(proposed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        tried, found = tried.unionByName(new), found.unionByName(verified(new))
-        gone = proposed.join(found, ["a", "b"], "left_semi").select("key", F.col("b").alias("node"))
-        rest = several(rest.where(F.col("place") > leaders).join(gone, ["key", "node"], "left_anti"))
+        proposed = rest.join(sigs, "node").groupBy("key").applyInArrow(proposals(leaders, least), f"key long, a {kind}, b {kind}")
+        pair = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = cut(pair.join(tried, ["a", "b"], "left_anti"))
+        tried, labels = tried.unionByName(new), merged(labels, verified(new))
+        rest = unsettled(rest.where(F.col("place") > leaders).select("key", "node"), labels)
         leaders *= LEADERS
-    return found, signed
+    return labels, signed
 
 
 def find_duplicates(docs: DataFrame, k: int = 5, bands: int = 20, rows: int = 4, threshold: float = 0.6) -> DataFrame:
@@ -221,8 +261,7 @@ def find_duplicates(docs: DataFrame, k: int = 5, bands: int = 20, rows: int = 4,
     Rows that share a doc_id but not their text are different documents. A null doc_id is a value like any other and sorts
     first. Ties: the representative is the least by (doc_id, hash of the text). Empty tables give an empty result.
     """
-    found, signed = edges(docs, k, bands, rows, threshold)
-    roots = components(found)
+    roots, signed = groups(docs, k, bands, rows, threshold)
     copies = signed.groupBy(F.expr(NODE).alias("node")).agg((F.count("*") - 1).alias("extra")).where("extra > 0")
     out = roots.join(copies, "node", "full_outer").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("extra", F.lit(0)).alias("extra"))
     times = F.col("extra") + F.when(F.col("node") != F.col("root"), 1).otherwise(0)
@@ -231,8 +270,8 @@ def find_duplicates(docs: DataFrame, k: int = 5, bands: int = 20, rows: int = 4,
 
 def drop_duplicates(docs: DataFrame, k: int = 5, bands: int = 20, rows: int = 4, threshold: float = 0.6) -> DataFrame:
     """docs with one row of each group of find_duplicates, and with every row that has no words; all its columns."""
-    found, signed = edges(docs, k, bands, rows, threshold)
-    gone = components(found).where("node != root").select(F.col("node.doc_id").alias("id"), F.col("node.h").alias("h"))
+    roots, signed = groups(docs, k, bands, rows, threshold)
+    gone = roots.where("node != root").select(F.col("node.doc_id").alias("id"), F.col("node.h").alias("h"))
     id_, h, one = (fresh(docs, c) for c in ("__id", "__h", "__one"))
     named = docs.withColumn(h, F.xxhash64("text"))
     out = named.join(gone.select(F.col("id").alias(id_), F.col("h").alias(one)), named["doc_id"].eqNullSafe(F.col(id_)) & (F.col(h) == F.col(one)), "left_anti")
