@@ -30,18 +30,41 @@ CLOSES |= {t: ("p",) for t in BLOCK - {"br", "li", "dt", "dd", "tr", "td", "th",
 STOPS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 ROOTS = frozenset(("", "html", "body", "head"))
 SPACE = re.compile(r"\s+")
+NONE = np.zeros(0, np.uint64)
+
+
+RAW_END = {t: re.compile(f"</{t}[\\s/>]|$(?![\\s\\S])", re.I) for t in RAW}
+
+
+class Open:
+    """The stack of open elements, and for each tag the places at which it is open, so that no search walks the stack."""
+
+    def __init__(self, root: list):
+        self.stack, self.at = [root], {}
+
+    def push(self, element: list) -> None:
+        self.at.setdefault(element[0], []).append(len(self.stack))
+        self.stack.append(element)
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element with one of these tags, 0 without one."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.at[self.stack.pop()[0]].pop()
 
 
 def parse(page: str) -> list:
-    """The root element: [tag, attributes, children, hash], a child being an element or a string."""
+    """The root element: [tag, attributes, children, hash], a child being an element or a string. Linear in the page's length, however deep it nests."""
     root = ["", "", [], 0]
-    stack = [root]
+    opened = Open(root)
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text and not text.isspace():
-            stack[-1][2].append(text)
+            opened.stack[-1][2].append(text)
         if not m:
             break
         at = m.end()
@@ -49,28 +72,22 @@ def parse(page: str) -> list:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if place := opened.last((tag,)):
+                opened.close(place)
             continue
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in STOPS.get(tag, ()) or tag not in CLOSES:
-                break
-            if stack[i][0] in CLOSES[tag]:
-                del stack[i:]
-                break
+        if tag in CLOSES and (place := opened.last(CLOSES[tag])) > opened.last(STOPS.get(tag, ())):
+            opened.close(place)
         element = [tag, m[3].strip(), [], 0]
-        stack[-1][2].append(element)
+        opened.stack[-1][2].append(element)
         if tag in RAW:
-            end = re.compile(f"</{tag}[\\s/>]|$(?![\\s\\S])", re.I).search(page, at)
+            end = RAW_END[tag].search(page, at)
             if end.start() > at:
                 element[2].append(page[at : end.start()])
             at = end.start()
             close = page.find(">", at)
             at = n if close < 0 else close + 1
         elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(element)
+            opened.push(element)
     return root
 
 
@@ -141,8 +158,12 @@ def strip(template):
             for i, at in enumerate(hosts):
                 page = pages[i].as_py()
                 root = parse((page or "").replace("\x00", " "))
-                hashed(root)
-                own = template.value.get(at, frozenset()) if template else {h & 0xFFFFFFFFFFFFFFFF for h in batch.column(3)[i].as_py() or ()}
+                found = hashed(root)
+                if template:
+                    known, seen = template.value.get(at, NONE), np.array(sorted(set(found)), np.uint64)
+                    own = set(seen[np.isin(seen, known, assume_unique=True)].tolist())
+                else:
+                    own = {h & 0xFFFFFFFFFFFFFFFF for h in batch.column(3)[i].as_py() or ()}
                 text, n = text_of(root, own)
                 texts.append(None if page is None else text)
                 removed.append(n)
@@ -151,13 +172,14 @@ def strip(template):
     return run
 
 
-def extract(pages: DataFrame, min_pages: int = 3, max_broadcast: int = 4_000_000) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 3, max_broadcast: int = 2_000_000) -> DataFrame:
     """One row for each row of pages: page_id, host, text, n_removed (template subtrees deleted, the outermost ones).
 
-    pages has page_id, url and html; other columns are ignored. Up to max_broadcast template subtrees are broadcast; more are joined to
-    the subtrees of each page, so no page is sent those of the others. Defined results: a null html gives a null text, an empty one an empty text. A url without a host, and a null
-    one, has a null host, whose pages have no template. Repeated rows each give their row; pages of a host whose texts are equal count as one page. Unclosed
-    and stray tags are taken as browsers would, roughly; an empty table gives an empty result.
+    pages has page_id, url and html; other columns are ignored. Up to max_broadcast template subtrees, of 8 bytes each, are
+    broadcast; more are joined to the subtrees of each page, so no page is sent those of the others. Defined results: a null
+    html gives a null text, an empty one an empty text. A url without a host, and a null one, has a null host, whose pages have
+    no template. Repeated rows each give their row; pages of a host whose texts are equal count as one page. Unclosed and stray
+    tags are taken as browsers would, roughly; an empty table gives an empty result.
     """
     own = pages.select("page_id", host().alias("host"), "html")
     known = own.where("host is not null").select("host", "html", F.xxhash64("html").alias("key"))
@@ -167,9 +189,14 @@ def extract(pages: DataFrame, min_pages: int = 3, max_broadcast: int = 4_000_000
     kind = dict(pages.dtypes)["page_id"]
     schema = f"page_id {kind}, host string, text string, n_removed int"
     if template.count() <= max_broadcast:
-        by_host: dict[str, set[int]] = {}
-        for r in template.toArrow().to_pylist():
-            by_host.setdefault(r["host"], set()).add(r["h"] & 0xFFFFFFFFFFFFFFFF)
+        table = template.toArrow()
+        named = table.column("host").combine_chunks().dictionary_encode()
+        if isinstance(named, pa.ChunkedArray):
+            named = named.combine_chunks()
+        codes, hashes = named.indices.to_numpy(), table.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(codes, kind="stable")
+        edges = np.searchsorted(codes[order], np.arange(len(named.dictionary) + 1))
+        by_host = {at: hashes[order[a:b]] for at, a, b in zip(named.dictionary.to_pylist(), edges[:-1], edges[1:])}
         return own.mapInArrow(strip(pages.sparkSession.sparkContext.broadcast(by_host)), schema)
     lists = subtrees.select("host", "key", "h").join(template, ["host", "h"]).groupBy(F.col("host").alias("other"), F.col("key").alias("page")).agg(F.collect_set("h").alias("template"))
     same = (F.col("host") == F.col("other")) & (F.xxhash64("html") == F.col("page"))

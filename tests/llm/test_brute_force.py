@@ -242,23 +242,6 @@ def test_media_round_trip(spark):
         assert all(k["time"] == k["sample"] * (512 + seed % 7) for k in video["keyframes"]) and video["codec"] in ("avc1", "hvc1", "av01")
 
 
-def test_html_against_plain(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    rows = pages.select("page_id", html.host().alias("host"), "html").collect()
-    on, size = defaultdict(set), Counter()
-    parsed = {}
-    for r in rows:
-        root = html.parse(r.html or "")
-        parsed[r.page_id] = root
-        size[r.host] += 1
-        for h in html.hashed(root):
-            on[r.host, h].add(r.page_id)
-    got = {r.page_id: (r.text, r.n_removed) for r in html.extract(pages).collect()}
-    for r in rows:
-        template = {h for (host, h), ids in on.items() if host == r.host and len(ids) >= 3 and len(ids) >= 0.2 * size[host]} if r.host else set()
-        assert got[r.page_id] == html.text_of(parsed[r.page_id], template)
-
-
 def test_identifier_scores_against_plain(spark):
     rng = random.Random(4)
     rows = [(f"v{rng.randint(0, 30)}", rng.choice(["999", "a@a"]), rng.choice("xyz"), rng.choice("pq")) for _ in range(200)]
