@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -179,7 +180,7 @@ def test_kneser_ney_against_plain(spark):
 def test_quality_on_labels(spark):
     at = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.classify(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
+    got = quality.classify(docs, labels).join(labels.where("toxic = 0"), "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in got}
     assert kept[1] > 0.95 and kept[0] < 0.5
 
@@ -270,3 +271,30 @@ def test_unseen_identifiers_by_their_context(spark):
     other = [(100, "please call me at +1 015 555 2222 today"), (101, "chapter 12 has 300 lines of verse")]
     got = pii.find_identifiers(spark.createDataFrame(seeds + other, "doc_id long, text string"))
     assert {r.doc_id for r in got.collect()} == {*range(30), 100}
+
+
+def test_worst_words_against_plain():
+    rng = random.Random(6)
+    texts = ["", "  ", "one", " lead", "trail ", "a b\tc\nd", "é ü 漢字 x", *("".join(rng.choice("ab \n") for _ in range(rng.randint(0, 30))) for _ in range(200))]
+    raw = [t.encode() for t in texts]
+    values = np.array([rng.uniform(-1, 1) for _ in range(sum(map(len, raw)))])
+    got, at = quality.worst_words(pa.array(texts), values), 0
+    for t, g in zip(raw, got):
+        own, sums = values[at : at + len(t)], [-math.inf]
+        for m in re.finditer(rb"[^\x00-\x20]+", t):
+            sums.append(own[m.start() : min(m.end() + 1, len(t))].sum())
+        assert g == max(sums) or abs(g - max(sums)) < 1e-9
+        at += len(t)
+
+
+def test_toxic_documents_on_held_out_labels(spark):
+    """Of the labelled documents that neither model was trained on: clean ones stay in every language, toxic ones go in English, of whose toxic documents there are enough to learn from."""
+    at = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    trained = [quality.labelled_sample(docs, labels, w, 2000, n).where("not held").select("doc_id") for w, n in ((quality.TRUSTED, 2), (quality.TOXIC, quality.HELD_TOXIC))]
+    rest = labels.join(trained[0].unionByName(trained[1]), "doc_id", "left_anti")
+    got = quality.classify(docs, labels).select("doc_id", "lang", "keep").join(rest, "doc_id").groupBy("toxic", "quality", "lang").agg(F.avg(F.col("keep").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    print(sorted(map(tuple, got)))
+    for r in got:
+        if r.n >= 20:
+            assert (r.kept < 0.05 or r.lang != "en") if r.toxic else r.kept > 0.97 if r.quality else r.kept < 0.5, r

@@ -120,7 +120,7 @@ def test_identifiers(docs):
 def test_other_paths_agree(docs, labels, benchmark):
     """Beyond the size that is broadcast, the joined ways give the same rows."""
     a, b = quality.classify(docs, labels), quality.classify(docs, labels, max_model_rows=0)
-    same = lambda x: [(r[0], r[1], r[2], r[3] and round(r[3], 9), r[5]) for r in sorted(map(tuple, x.collect()), key=repr)]
+    same = lambda x: [(r[0], r[1], r[2], r[3] and round(r[3], 9), r[5] and round(r[5], 9), r[6]) for r in sorted(map(tuple, x.collect()), key=repr)]
     assert same(a) == same(b)
     assert rows(quality.drop_rejected(docs, labels).select("doc_id", "text")) == rows(quality.drop_rejected(docs, labels, max_model_rows=0).select("doc_id", "text"))
     assert rows(pii.redact(docs).select("doc_id", "text")) == rows(pii.redact(docs, max_values=0).select("doc_id", "text"))
