@@ -250,7 +250,7 @@ def test_identifier_scores_against_plain(spark):
     o = pii.DEFAULTS
     pats = defaultdict(set)
     for v, s, b, a, _ in rows:
-        pats[v] |= {f"L {b} _ {s}", f"R {s} _ {a}", f"S {s}"}
+        pats[v] |= {f"L {b} _ {s}", f"R {s} _ {a}", f"S {s}", f"C {b} _ {a}"}
     seed = {r[0]: r[4] for r in rows}
     score = {v: 1.0 if seed[v] else 0.0 for v in pats}
     for _ in range(o["rounds"]):
@@ -258,7 +258,7 @@ def test_identifier_scores_against_plain(spark):
         for v in pats:
             for p in pats[v]:
                 held[p].append(score[v])
-        conf = {p: sum(x) / (len(x) + o["prior"]) for p, x in held.items()}
+        conf = {p: sum(y for y in x if y >= o["accept"]) / (len(x) + o["prior"]) for p, x in held.items()}
         score = {v: 1.0 if score[v] >= 1 else 1 - math.prod(1 - o["trust"] * conf[p] for p in pats[v]) for v in pats}
     df = spark.createDataFrame(rows, "value string, shape string, before string, after string, seed string")
     got = {r.value: r.confidence for r in pii.score_graph(df, **o)[0].collect()}
