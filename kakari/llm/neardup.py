@@ -6,14 +6,16 @@ its first arrival, so two documents agree in a register with the probability Jac
 Arrivals are made in order of time, and an element stops once its next one lies beyond the time by which every register of
 the document is filled.
 
-Registers are cut into bands. Documents that agree in a band share a bucket. Buckets aren't compared all against all: each
-member is compared with the bucket's least document, by exact J_P, and that document is done. Rounds follow with LEADERS,
-LEADERS^2, ... members of each bucket as leaders, each compared with all members that haven't led yet. A member is done only
-when it has led: one that matched a leader still meets those that didn't. A bucket is done when all that haven't led lie in one
-connected component of the pairs found so far, so a group of thousands costs its size, and one of n unlike documents takes
-log n rounds. Leaders are taken from every component in turn, and pairs within one are skipped. In the rounds a pair is verified
-exactly only if the share of registers in which it agrees lies at most 3.3 standard deviations below the threshold. No bucket is
-cut short. The verified edges' connected components are the groups; the least document of each is its representative.
+Texts that are equal, by a 64-bit hash, are one node of the graph, named by the least (doc_id, hash); only nodes have signatures
+and meet. Registers are cut into bands, and nodes that agree in a band share a bucket. Buckets aren't compared all against
+all: each member is compared with the bucket's least node, by exact J_P. Rounds follow with LEADERS, LEADERS^2, ... members of
+each bucket as leaders, each compared with all members that haven't led yet, in parts of PART members, so that no task holds a
+large bucket. A member is done only when it has led: one that matched a leader still meets those that didn't. A bucket is done
+when all that haven't led lie in one connected component of the pairs found so far, so a group of thousands costs its size,
+and one of n unlike documents takes log n rounds. Leaders are taken from every component in turn, and pairs within one are
+skipped. In the rounds a pair is verified exactly only if the share of registers in which it agrees lies at most 3.3 standard
+deviations below the threshold. No bucket is cut short. The verified edges' connected components are the groups; the least
+document of each is its representative.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from kakari.llm.util import cut, fresh, pick
 
 NODE = "struct(doc_id, h)"
 LEADERS = 8
+PART = 16_384
 
 
 def weighted(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,12 +84,14 @@ def probminhash(text: np.ndarray, elem: np.ndarray, weight: np.ndarray, n: int,
 
 
 def sign(k: int, bands: int, rows: int):
-    """The mapInArrow function over (doc_id, h, text): doc_id, h, the hash of each band and 16 bits of each register, of the documents with words."""
+    """The mapInArrow function over (h, text): h, the hash of each band and 16 bits of each register, of the texts with words, once in a block."""
 
     def run(batches):
-        for batch in blocks(batches, 2):
+        for batch in blocks(batches):
+            _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            batch = batch.take(pa.array(first))
             n, m = batch.num_rows, bands * rows
-            registers, some = probminhash(*weighted(batch.column(2), k), n, m)
+            registers, some = probminhash(*weighted(batch.column(1), k), n, m)
             keys = np.zeros((n, bands), U)
             for r in range(rows):
                 keys = mix(keys ^ registers.reshape(n, bands, rows)[:, :, r], 5)
@@ -95,27 +100,27 @@ def sign(k: int, bands: int, rows: int):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel().view(np.int64)))
             short = np.ascontiguousarray((mix(registers[some], 11) >> U(48)).astype(np.uint16))
             sigs = pa.Array.from_buffers(pa.binary(2 * m), len(short), [None, pa.py_buffer(short.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists, sigs], ["doc_id", "h", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([own.column(0), lists, sigs], ["h", "bands", "sig"])
 
     return run
 
 
-def proposals(leaders: int, least: float):
-    """The applyInArrow function over one bucket (key, node, label, place, sig): pairs of its first `leaders` members with all after them that have another label and agree in `least` of the registers."""
+def proposals(least: float):
+    """The applyInArrow function over a part of a bucket (key, part, leads, node, label, sig): its leaders paired with all members of another label that agree in `least` of the registers."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("place")
+        table = table.combine_chunks()
+        leads = table.column("leads").to_numpy()
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
-        root = table.column("label").to_numpy()
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(min(leaders, len(sigs) - 1)):
-            other = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        label = table.column("label").to_numpy()
+        members, left, right = np.flatnonzero(~leads), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(leads):
+            other = members[label[members] != label[i]]
             hit = other[(sigs[other] == sigs[i]).mean(1) >= least]
             left.append(np.full(len(hit), i))
             right.append(hit)
-        a, b = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
         node = table.column("node")
-        return pa.table([table.column("key").take(a), node.take(a), node.take(b)], names=["key", "a", "b"])
+        return pa.table([node.take(pa.array(np.concatenate(x))) for x in (left, right)], names=["a", "b"])
 
     return run
 
@@ -208,79 +213,89 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, k: int, bands: int, rows: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the distinct (doc_id, text hash) nodes that are in a verified pair, and the signed rows (doc_id, h, bands, sig)."""
+    """(node, root) of the nodes that are in a verified pair, and (h, node, n): the node of each text with words and its number of rows."""
     kinds = dict(docs.dtypes)
     kind = f"struct<doc_id:{kinds['doc_id']},h:bigint>"
     texts = hashed(docs)
-    signed = cut(texts.select("doc_id", "h", "text").mapInArrow(sign(k, bands, rows), f"doc_id {kinds['doc_id']}, h long, bands array<long>, sig binary"))
-    band = signed.select(F.explode("bands").alias("key"), F.expr(NODE).alias("node"))
-    w = Window.partitionBy("key")
-    first = cut(band.distinct().select("key", "node", F.min("node").over(w).alias("lead"), F.count("*").over(w).alias("n")).where("n > 1 and node != lead").drop("n"))
-    held = first.select(F.explode(F.array("node", "lead")).alias("x")).select("x.doc_id", "x.h").distinct()
-    same = texts.doc_id.eqNullSafe(held.doc_id) & (texts.h == held.h)
-    held = cut(texts.join(held, same, "left_semi").dropDuplicates(["doc_id", "h"]).select(F.expr(NODE).alias("node"), "text"))
+    signed = texts.select("h", "text").mapInArrow(sign(k, bands, rows), "h long, bands array<long>, sig binary").dropDuplicates(["h"])
+    least = texts.select("h", F.expr(NODE).cast(kind).alias("node")).groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("n"))
+    nodes = cut(signed.join(least, "h"))
+    band = nodes.select(F.explode("bands").alias("key"), "node")
+    lead = band.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = cut(band.join(lead, "key").where("node != lead"))
+    held = first.select(F.explode(F.array("node.h", "lead.h")).alias("h")).distinct()
+    held = cut(texts.select("h", "text").join(held, "h", "left_semi").dropDuplicates(["h"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        a, b = held.select(F.col("h").alias("ha"), F.col("text").alias("text_a")), held.select(F.col("h").alias("hb"), F.col("text").alias("text_b"))
+        full = pairs.join(a, F.col("a.h") == F.col("ha")).join(b, F.col("b.h") == F.col("hb"))
         return cut(full.select("a", "b", "text_a", "text_b").mapInArrow(verify(k, threshold), f"a {kind}, b {kind}, similarity double"))
 
     def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-        """members (key, node) of the buckets in which they lie in several components: with label, the component's number in the bucket, and place, in turns of the components."""
-        roots = members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        # the same text in the same component and bucket is there once
-        once = roots.groupBy("key", "root", F.col("node.h").alias("h")).agg(F.min("node").alias("node"))
-        mixed = once.withColumn("most", F.max("root").over(w)).withColumn("least", F.min("root").over(w)).where("most != least")
-        turns = mixed.select("key", "node", "root", F.row_number().over(Window.partitionBy("key", "root").orderBy("node")).alias("turn"))
-        label = F.dense_rank().over(w.orderBy("root")).alias("label")
-        return cut(turns.select("key", "node", label, "turn").select("key", "node", "label", F.row_number().over(w.orderBy("turn", "node")).alias("place")))
+        """Those of members (key, node) in buckets in which they lie in several components: with label, the component's, and n, their number in the bucket."""
+        named = members.join(labels, "node", "left").select("key", "node", F.coalesce("root.h", "node.h").alias("label"))
+        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low != high").select("key", "n")
+        return cut(named.join(mixed, "key"))
 
     tried = cut(first.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     labels = components(verified(tried))
     rest = unsettled(first.select("key", "node"), labels)
-    sigs = signed.select(F.expr(NODE).alias("node"), "sig").dropDuplicates(["node"])
-    least = threshold - 3.3 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+    sigs = nodes.select("node", "sig")
+    bar = threshold - 3.3 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     leaders = LEADERS
     while not rest.isEmpty():
-        proposed = rest.join(sigs, "node").groupBy("key").applyInArrow(proposals(leaders, least), f"key long, a {kind}, b {kind}")
+        # with ranks limited to few, Spark drops the others of a group before it is shuffled
+        turns = rest.withColumn("turn", F.row_number().over(Window.partitionBy("key", "label").orderBy("node"))).where(F.col("turn") <= leaders)
+        leading = cut(turns.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("turn", "node"))).where(F.col("place") <= leaders).select("key", "node", "label", "n"))
+        last = F.expr(f"int((n - 1) div {PART})")
+        every = leading.select("key", F.explode(F.sequence(F.lit(0), last)).alias("part"), F.lit(True).alias("leads"), "node", "label")
+        every = every.unionByName(rest.select("key", F.pmod(F.xxhash64("node"), last + 1).cast("int").alias("part"), F.lit(False).alias("leads"), "node", "label"))
+        proposed = every.join(sigs, "node").groupBy("key", "part").applyInArrow(proposals(bar), f"a {kind}, b {kind}")
         pair = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = cut(pair.join(tried, ["a", "b"], "left_anti"))
         tried, labels = tried.unionByName(new), merged(labels, verified(new))
-        rest = unsettled(rest.where(F.col("place") > leaders).select("key", "node"), labels)
+        rest = unsettled(rest.select("key", "node").join(leading.select("key", "node"), ["key", "node"], "left_anti"), labels)
         leaders *= LEADERS
-    return labels, signed
+    return labels, nodes.select("h", "node", "n")
+
+
+def survivors(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(h, root) of every text that has several rows or a verified pair: the representative of its group."""
+    return nodes.join(labels, "node", "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "node").alias("root"))
 
 
 def find_duplicates(docs: DataFrame, k: int = 5, bands: int = 20, rows: int = 4, threshold: float = 0.6) -> DataFrame:
     """One row for every document that repeats another: doc_id, duplicate_of (the representative of its group).
 
-    docs has doc_id and text; other columns are ignored. A group is a connected component of the pairs whose exact
-    probability Jaccard similarity reaches threshold; a pair at the threshold is found with chance 0.94, one at 0.7 with 0.996.
+    docs has doc_id and text; other columns are ignored. A group is a connected component of pairs whose exact probability
+    Jaccard similarity reaches threshold. A pair at the threshold shares a band with chance 0.94, one at 0.7 with 0.996. A pair
+    that shares one is in one group, unless its registers understate it: after the first round, pairs whose registers
+    agree 3.3 standard deviations less than the threshold (one in 2,000 at the threshold, fewer above) aren't verified.
 
-    Defined results: texts without words (null and empty ones too) repeat nothing. Rows that agree in doc_id and text are
+    Defined results: texts without words (null and empty ones too) repeat nothing. Rows that agree in text are
     copies of each other: each but one gives a row that names the representative of the group, which may be its own doc_id.
     Rows that share a doc_id but not their text are different documents. A null doc_id is a value like any other and sorts
     first. Ties: the representative is the least by (doc_id, hash of the text). Empty tables give an empty result.
     """
-    roots, signed = groups(docs, k, bands, rows, threshold)
-    copies = signed.groupBy(F.expr(NODE).alias("node")).agg((F.count("*") - 1).alias("extra")).where("extra > 0")
-    out = roots.join(copies, "node", "full_outer").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("extra", F.lit(0)).alias("extra"))
-    times = F.col("extra") + F.when(F.col("node") != F.col("root"), 1).otherwise(0)
-    return out.withColumn("times", times).where("times > 0").select(F.col("node.doc_id").alias("doc_id"), F.col("root.doc_id").alias("duplicate_of"), F.explode(F.sequence(F.lit(1), "times")).alias("copy")).drop("copy")
+    own = survivors(*groups(docs, k, bands, rows, threshold))
+    rows_ = hashed(docs).groupBy("doc_id", "h").agg(F.count("*").alias("n")).join(own, "h")
+    itself = F.col("doc_id").eqNullSafe(F.col("root.doc_id")) & (F.col("h") == F.col("root.h"))
+    times = (F.col("n") - F.when(itself, 1).otherwise(0)).alias("times")
+    return rows_.select("doc_id", F.col("root.doc_id").alias("duplicate_of"), times).where("times > 0").select("doc_id", "duplicate_of", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")).drop("copy")
 
 
 def drop_duplicates(docs: DataFrame, k: int = 5, bands: int = 20, rows: int = 4, threshold: float = 0.6) -> DataFrame:
-    """docs with one row of each group of find_duplicates, and with every row that has no words; all its columns."""
-    roots, signed = groups(docs, k, bands, rows, threshold)
-    gone = roots.where("node != root").select(F.col("node.doc_id").alias("id"), F.col("node.h").alias("h"))
-    id_, h, one = (fresh(docs, c) for c in ("__id", "__h", "__one"))
-    named = docs.withColumn(h, F.xxhash64("text"))
-    out = named.join(gone.select(F.col("id").alias(id_), F.col("h").alias(one)), named["doc_id"].eqNullSafe(F.col(id_)) & (F.col(h) == F.col(one)), "left_anti")
-    copies = cut(signed.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h"))
-    if not copies.isEmpty():
-        worded = signed.select("doc_id", "h").distinct()
-        pair = out.join(copies.select(F.col("doc_id").alias(id_), F.col("h").alias(one)), out["doc_id"].eqNullSafe(F.col(id_)) & (F.col(h) == F.col(one)), "left_outer")
-        n = fresh(docs, "__n")
-        w = Window.partitionBy("doc_id", h).orderBy(h)
-        several = pair.where(F.col(one).isNotNull()).withColumn(n, F.row_number().over(w)).where(F.col(n) == 1)
-        out = pair.where(F.col(one).isNull()).select(*docs.columns).unionByName(several.select(*docs.columns))
-    return out.select(*docs.columns)
+    """docs with one row of each group of find_duplicates, and with every row that has no words; all its columns.
+
+    Of several rows with the representative's doc_id and text the least by a hash of all columns stays (maps don't count).
+    """
+    own = survivors(*groups(docs, k, bands, rows, threshold))
+    h, other, top = (fresh(docs, c) for c in ("__h", "__other", "__top"))
+    named = docs.withColumn(h, F.xxhash64("text")).join(own.select(F.col("h").alias(other), F.col("root").alias(top)), F.col(h) == F.col(other), "left")
+    chosen = named.where(F.col(top).isNotNull() & named["doc_id"].eqNullSafe(F.col(f"{top}.doc_id")) & (F.col(h) == F.col(f"{top}.h")))
+    plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    w = Window.partitionBy(h).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in plain)))
+    n = fresh(named, "__n")
+    one = chosen.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.where(F.col(top).isNull()).select(*columns).unionByName(one.select(*columns))
