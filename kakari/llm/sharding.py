@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kakari.llm.util import cut, fresh
+from kakari.llm.util import fresh
 
 ROUNDS = 6
 MULTIPLIER = 1597334677
@@ -51,36 +51,52 @@ def feistel(x: np.ndarray, n: int, seed: int, backwards: bool = False) -> np.nda
     return out
 
 
-def number_rows(df: DataFrame, max_buckets: int = 1 << 16, rows_per_bucket: int = 4096) -> tuple[DataFrame, str, int]:
+def number_rows(df: DataFrame, max_ranges: int = 1 << 12, rows_per_range: int = 1 << 14) -> tuple[DataFrame, str, int]:
     """df with a column of global row numbers in order of doc_id (nulls first), its name, and the number of rows.
 
-    doc_ids are cut into ranges by dropping low bits; the ranges' sizes, at most max_buckets of them or so, are counted and
-    broadcast as offsets, and ranks are taken inside each range, so no task sees all rows. Rows with equal doc_id are ordered by a hash of
-    their columns; only wholly equal rows can change places.
+    doc_ids, whole numbers, are cut into at most max_ranges ranges at their quantiles, so gaps and far outliers don't matter. A doc_id
+    that many rows share, or null, is a range of its own, cut once more by a hash of the columns. The ranges' sizes, at most
+    4 * max_ranges of them or so, are counted and broadcast as offsets, and ranks are taken inside each range, so no task sees all rows.
+    Rows with equal doc_id are ordered by the hash; only wholly equal rows can change places, and these alone share a range however many they are.
     """
-    lo, hi, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    want = min(max_buckets, max(1, n // rows_per_bucket))
-    shift = max(0, ((hi - lo) // want).bit_length()) if lo is not None else 0
+    if dict(df.dtypes)["doc_id"] not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError("doc_id must be a whole number")
+    n, nulls = df.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    ranges = min(max_ranges, max(1, n // rows_per_range))
+    at = [i / ranges for i in range(1, ranges)]
+    cuts = (df.agg(F.percentile_approx("doc_id", at, 10 * ranges)).first()[0] if at else None) or []
+    bounds, repeats = np.unique(np.array(cuts, np.int64), return_counts=True)
+    bits = np.ceil(np.log2(np.append(repeats, max(1, nulls * ranges // max(n, 1))))).astype(np.int64)
+
+    @F.pandas_udf("long")
+    def range_of(x: pd.Series, none: pd.Series, tie: pd.Series) -> pd.Series:
+        v, hidden = x.to_numpy(np.int64), none.to_numpy(bool)
+        where = np.searchsorted(bounds, v)
+        known = np.append(bounds, 0)[where]
+        equal = (where < len(bounds)) & (known == v) & ~hidden
+        own = np.where(hidden, bits[-1], np.where(equal, bits[where], 0))
+        high = (tie.to_numpy(np.int64) ^ np.int64(-(1 << 63))).view(np.uint64)
+        part = np.where(own > 0, high >> (64 - np.maximum(own, 1)).astype(np.uint64), 0).astype(np.int64)
+        return pd.Series((np.where(hidden, 0, 1 + 2 * where + equal) << 16) | part)
+
     bucket, number, offset, tie = (fresh(df, c) for c in ("__bucket", "__number", "__offset", "__tie"))
-    ranged = df.withColumn(bucket, F.shiftright(F.col("doc_id").cast("long"), shift))
-    sizes = {r[0]: r[1] for r in ranged.groupBy(bucket).count().collect()}
-    at, rows = 0, []
-    for b in sorted(sizes, key=lambda b: (b is not None, b or 0)):
-        rows.append((b, at))
-        at += sizes[b]
-    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, f"`{bucket}_b` long, `{offset}` long"))
-    plain = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    plain = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    ranged = df.withColumn(tie, F.xxhash64(*plain)).withColumn(bucket, range_of(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.col(tie)))
+    sizes = sorted((r[0], r[1]) for r in ranged.groupBy(bucket).count().collect())
+    starts = np.cumsum([0] + [c for _, c in sizes]).tolist()
+    offsets = F.broadcast(df.sparkSession.createDataFrame([(b, at) for (b, _), at in zip(sizes, starts)], f"`{bucket}_b` long, `{offset}` long"))
     w = Window.partitionBy(bucket).orderBy("doc_id", tie)
-    out = ranged.withColumn(tie, F.xxhash64(*plain)).withColumn(number, F.row_number().over(w)).join(offsets, F.col(bucket).eqNullSafe(F.col(f"{bucket}_b")))
-    return out.withColumn(number, F.col(number) - 1 + F.col(offset)).select(*df.columns, number), number, n
+    out = ranged.withColumn(number, F.row_number().over(w)).join(offsets, F.col(bucket) == F.col(f"{bucket}_b"))
+    return out.withColumn(number, F.col(number) - 1 + F.col(offset)).select(*(F.col(f"`{c}`") for c in df.columns), number), number, n
 
 
-def shard(df: DataFrame, n_shards: int = 64, seed: int = 1) -> DataFrame:
-    """df's rows with row_number, position, shard and slot, partitioned by shard and in order of slot inside it.
+def shard(df: DataFrame, n_shards: int = 64, seed: int = 1, rows_per_task: int = 1 << 16) -> DataFrame:
+    """df's rows with row_number, position, shard and slot, in order of shard and slot inside each partition.
 
+    A partition holds whole runs of rows_per_task slots, so the tasks that write a shard aren't bounded by the number of shards.
     Columns of df with one of these four names are replaced. Shards hold ceil(N / n_shards) rows; the last ones may hold fewer. Defined results: a null doc_id
     is numbered before all others; repeated doc_ids and rows each keep a number of their own; texts are carried, not read. An
-    empty table gives an empty result with the four columns.
+    empty table gives an empty result with the four columns. A doc_id that isn't a whole number raises TypeError.
     """
     df = df.drop("row_number", "position", "shard", "slot")
     numbered, number, n = number_rows(df)
@@ -92,7 +108,9 @@ def shard(df: DataFrame, n_shards: int = 64, seed: int = 1) -> DataFrame:
 
     out = numbered.withColumnRenamed(number, "row_number").withColumn("position", place("row_number"))
     out = out.withColumn("shard", F.expr(f"position div {slots}")).withColumn("slot", F.expr(f"position % {slots}"))
-    return out.repartition("shard").sortWithinPartitions("shard", "slot")
+    run = F.expr(f"slot div {rows_per_task}")
+    pieces = n_shards * -(-slots // rows_per_task)
+    return out.repartition(min(pieces, 1 << 15), "shard", run).sortWithinPartitions("shard", "slot")
 
 
 ORACLE = f"""
