@@ -96,8 +96,8 @@ def test_many_unlike_documents_in_a_bucket(spark):
 
 
 def test_suffix_tree_against_plain(spark):
-    texts = ["abracadabra abracadabra", "banana bandana", "abracadabra banana", ""]
-    depth, p_min, strength, mu = 3, 0.01, 0.5, 4.0
+    texts = ["abracadabra abracadabra", "banana bandana", "abracadabra banana", "", "a b c d e f a b c d", *["xyz qrs tuv mno", "pqr xyz qrs tuv mno lmn"] * 2, "uvw xyz qrs tuv mno uvw", "a b c d\n e f  g", "a b c d e", "a b c d e", " a b c", "banana bandana abracadabra a b c d e"]
+    depth, p_min, strength, mu, run, gain, mu_long = 3, 0.01, 0.5, 4.0, 2, 0.05, 1.0
     n = Counter()
     for t in texts:
         padded = b"\xff" * depth + t.encode()
@@ -120,16 +120,45 @@ def test_suffix_tree_against_plain(spark):
         base = 1 / 256 if not s else prob(s[1:], x)
         return (following[s].get(x, 0) + mu * base) / (totals[s] + mu)
 
-    want = {}
-    for t in texts:
-        padded, logs = b"\xff" * depth + t.encode(), 0.0
-        for i in range(depth, len(padded)):
-            s = next(padded[i - d : i] for d in range(depth, -1, -1) if padded[i - d : i] in good)
-            logs += math.log(prob(s, padded[i]))
-        want[t] = logs
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {texts[r.doc_id]: r.log_prob for r in suffix_tree.score_corpus(df, depth=depth, p_min=p_min, strength=strength, mu=mu).collect()}
-    assert len(good) > 5 and all(abs(got[t] - want[t]) < 1e-6 for t in texts)
+    words = {i: re.findall(rb"[^\x00-\x20]+[\x00-\x20]*", t.encode()) for i, t in enumerate(texts)}
+    begins = {i: [m.start() for m in re.finditer(rb"[^\x00-\x20]+", t.encode())] for i, t in enumerate(texts)}
+    short = {}
+    for i, t in enumerate(texts):
+        padded = b"\xff" * depth + t.encode()
+        short[i] = [math.log(prob(next(padded[j - d : j] for d in range(depth, -1, -1) if padded[j - d : j] in good), padded[j])) for j in range(depth, len(padded))]
+    base = lambda i, k: sum(short[i][begins[i][k] : begins[i][k] + len(words[i][k])])
+    after = defaultdict(list)
+    for i, w in words.items():
+        for k in range(run, len(w)):
+            after[tuple(w[k - run : k])].append((i, k))
+    want, n_long = {i: sum(x) for i, x in short.items()}, Counter()
+    for s, places in after.items():
+        counts = Counter(words[i][k] for i, k in places)
+        p = lambda i, k, less: (counts[words[i][k]] - less + mu_long * math.exp(base(i, k))) / (len(places) - less + mu_long)
+        if len(places) >= 2 and sum(math.log(p(i, k, 1)) - base(i, k) for i, k in places) >= gain:
+            for i, k in places:
+                want[i] += math.log(p(i, k, 0)) - base(i, k)
+                n_long[i] += 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in suffix_tree.score_corpus(df, depth=depth, p_min=p_min, strength=strength, mu=mu, run=run, gain=gain, bytes_per_shard=40).collect()}
+    assert len(good) > 5 and sum(n_long.values()) > 10
+    assert all(got[i].n_long == n_long[i] and abs(got[i].log_prob - want[i]) < 0.02 * max(1, n_long[i]) for i in want)
+
+
+def test_long_states_grow_and_tell_repeated_texts(spark):
+    """What scoring gathers grows with the input: texts that occur twice are told from those that occur once, at every size."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(400)]
+    counts = []
+    for n in (60, 240):
+        texts = [" ".join(rng.choices(vocabulary, k=80)) for _ in range(n)]
+        rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(n // 4)]
+        got = {r.doc_id: r for r in suffix_tree.score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        twice = [got[i].bits_per_symbol for i in range(n // 4)]
+        once = [got[i].bits_per_symbol for i in range(n // 4, n)]
+        assert max(twice) < min(once)
+        counts.append(sum(r.n_long for r in got.values()))
+    assert counts[1] > 3.5 * counts[0]
 
 
 def test_kneser_ney_against_plain(spark):
