@@ -4,7 +4,8 @@ Items are partitioned by their number of shingles into classes (u/2, u]. For eac
 1.5u shingles, one every u/2, so an item lies inside a window of a size like its own however long the document is. An item
 and a window that share a MinHash value become a candidate, and a candidate is verified by the exact containment of the
 item's distinct shingles in the whole document. With containment c the chance that a contained item shares none of the
-num_perm values is at most (1 - c / (3.2 - c)) ** num_perm, 0.0001 for the defaults.
+num_perm values is at most (1 - c / (4 - c)) ** num_perm, 0.0001 for the defaults. Items of up to FEW shingles have too small windows
+for that: every shingle of theirs is looked up itself, so none of them is missed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from kakari.llm.kernels import Table, U, blocks, mix, owners, shingles, words
 from kakari.llm.util import cut, pick
 
 SCHEMA = "doc_id long, item_id long, n_shingles int, n_shared int, containment double"
-SMALLEST = 8
+FEW, SMALLEST = 4, 8
 
 
 def build_index(ids: list[int], texts: list[str | None], k: int, num_perm: int) -> list[dict]:
@@ -29,10 +30,16 @@ def build_index(ids: list[int], texts: list[str | None], k: int, num_perm: int)
     for length in sorted({min(int(n), k) for n in n_words if n}):
         hashes, offsets, _ = shingles(w, length)
         classes: dict[int, list] = {}
+        small: list = []
         for i in np.flatnonzero(np.minimum(n_words, k) == length):
             own = np.unique(hashes[offsets[i] : offsets[i + 1]])
+            if len(own) <= FEW:
+                small.append((ids[i], own))
+                continue
             upper = max(SMALLEST, 1 << (len(own) - 1).bit_length())
             classes.setdefault(upper, []).append((ids[i], own))
+        if small:
+            out.append(looked_up(length, small))
         for upper, items in sorted(classes.items()):
             mins = np.array([[mix(s, p + 1).min() for p in range(num_perm)] for _, s in items], U)
             distinct = [np.unique(mins[:, p]) for p in range(num_perm)]
@@ -44,6 +51,17 @@ def build_index(ids: list[int], texts: list[str | None], k: int, num_perm: int)
     return out
 
 
+def looked_up(length: int, items: list) -> dict:
+    """The index of items of few shingles: which items each shingle belongs to."""
+    distinct, at = np.unique(np.concatenate([s for _, s in items]), return_inverse=True)
+    owner = np.repeat(np.arange(len(items)), [len(s) for _, s in items])
+    order = np.argsort(at, kind="stable")
+    holders = np.split(owner[order], np.cumsum(np.bincount(at))[:-1])
+    quick = np.zeros(1 << 16, bool)
+    quick[(distinct >> U(48)).astype(np.int64)] = True
+    return {"length": length, "upper": 0, "ids": [i for i, _ in items], "sets": [s for _, s in items], "table": Table(distinct), "holders": holders, "quick": quick}
+
+
 def block_starts(offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """First elements of the runs of size elements (the last of a text may be shorter) and the texts' offsets into the runs."""
     count = -(-np.diff(offsets) // size)
@@ -56,16 +74,26 @@ def candidates(hashes: np.ndarray, offsets: np.ndarray, groups: list[dict], num_
     found: set[tuple[int, int, int]] = set()
     if not len(hashes):
         return found
-    base = min(g["upper"] for g in groups) // 2
+    for n, g in enumerate(groups):
+        if not g["upper"]:
+            near = np.flatnonzero(g["quick"][(hashes >> U(48)).astype(np.int64)])
+            row = g["table"].find(hashes[near])
+            text = np.searchsorted(offsets, near[row >= 0], "right") - 1
+            for t, r in set(zip(text.tolist(), row[row >= 0].tolist())):
+                found.update((t, n, int(i)) for i in g["holders"][r])
+    sized = [(n, g) for n, g in enumerate(groups) if g["upper"]]
+    if not sized:
+        return found
+    base = min(g["upper"] for _, g in sized) // 2
     starts, at = block_starts(offsets, base)
     levels = {}
-    for g in groups:
+    for _, g in sized:
         coarse, where = block_starts(at, g["upper"] // 2 // base)
         text = owners(where)
         levels[g["upper"]] = (coarse, text, np.append(text[1:] == text[:-1], False), np.append(text[2:] == text[:-2], [False, False][: min(2, len(text))])[: len(text)])
     for p in range(num_perm):
         least = np.minimum.reduceat(mix(hashes, p + 1), starts)
-        for n, g in enumerate(groups):
+        for n, g in sized:
             coarse, text, second, third = levels[g["upper"]]
             low = np.minimum.reduceat(least, coarse)
             window = low.copy()

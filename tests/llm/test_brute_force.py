@@ -327,3 +327,19 @@ def test_toxic_documents_on_held_out_labels(spark):
     for r in got:
         if r.n >= 20:
             assert (r.kept < 0.05 or r.lang != "en") if r.toxic else r.kept > 0.97 if r.quality else r.kept < 0.5, r
+
+
+def test_small_items_are_never_missed():
+    """Items of one to four shingles inside long texts, against a plain search."""
+    from kakari.llm import decontaminate
+
+    rng = random.Random(12)
+    items = [" ".join(f"q{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 8))) for _ in range(300)]
+    texts = []
+    for i in range(300):
+        w = [f"z{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 400))]
+        w.insert(rng.randint(0, len(w)), items[i])
+        texts.append(" ".join(w))
+    index = decontaminate.build_index(list(range(300)), items, 5, 32)
+    got = {(t, i) for t, i, *_ in decontaminate.matches(pa.array(texts), index, 5, 0.8, 32)}
+    assert got == {(t, i) for t in range(300) for i in range(300) if f" {items[i]} " in f" {texts[t]} "} and len(got) >= 300
