@@ -7,12 +7,10 @@ documents. Rows and texts are treated as the operators' docstrings say.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from kakari.checkpoint import remove, temporary
 from kakari.llm import decontaminate, neardup, packing, pii, quality
-from kakari.llm.util import shared_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +44,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
+    at = temporary(spark, "pipeline")
+    for n, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if n:
+            remove(spark, f"{at}/{STAGES[n - 1][0]}")  # nothing reads it any more
     return docs

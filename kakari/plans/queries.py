@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kakari.checkpoint import cut
+from kakari.checkpoint import cut, temporary
 from kakari.functions import text as T
 from kakari.functions.patterns import ASCII_PUNCTUATION, IPA
 from kakari.operators import convert, entities, evaluate, sequence
@@ -333,10 +331,8 @@ def parse_counts(df):
 
 def stream_parse(spark, sf_dir):
     """The documents as a stream, parsed as they come, written and read again."""
-    from kakari.checkpoint import shared_dir
-
     docs = table(spark, sf_dir, "documents")
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = temporary(spark, "stream")
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parque[t]")
     spark_query = parse_counts(sentences_of(stream)).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
     spark_query.awaitTermination()
