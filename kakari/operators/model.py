@@ -11,8 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from kakari.checkpoint import cut
 
@@ -37,16 +41,57 @@ def dictionary(features: DataFrame, column: str = "feature") -> DataFrame:
     return ranked(counts, "id", F.col("n").desc(), F.col("feature"))
 
 
-def to_ids(rows: DataFrame, dic: DataFrame, *keys: str, features: str = "features") -> DataFrame:
+#: Tables up to this many bytes are broadcast to the stages that score; larger ones are joined.
+MAX_BROADCAST = 128 << 20
+
+
+def to_ids(rows: DataFrame, dic: DataFrame, *keys: str, features: str = "features", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(keys, x): the sorted distinct ids of each row's features; unknown ones are dropped, a row without known ones has an empty x.
 
-    keys tell rows apart. The dictionary is joined by feature; AQE broadcasts it where it is small enough.
+    A dictionary within max_broadcast bytes is broadcast and looked up by whole batches, so rows stay where they are. A larger one is
+    joined by feature; then keys must tell rows apart.
     """
+    size, most = dic.agg(F.sum(F.octet_length("feature") + 12), F.max("id")).first()
+    if (size or 0) <= max_broadcast:
+        table = dic.select("feature", F.col("id").cast("int")).toArrow()
+        shared = dic.sparkSession.sparkContext.broadcast((table.column("feature").combine_chunks(), table.column("id").to_numpy(), (most or 0) + 1))
+        names = [*keys, "x"]
+
+        def run(batches):
+            known, ids, width = shared.value
+            for batch in batches:
+                cells, n = batch.column(len(keys)), batch.num_rows
+                lengths = pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False)
+                at = pc.index_in(cells.flatten(), value_set=known)
+                found = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                cell = np.unique(np.repeat(np.arange(n), lengths)[found] * np.int64(width) + ids[at.to_numpy(zero_copy_only=False)[found].astype(np.int64)])
+                offsets = np.searchsorted(cell, np.arange(n + 1) * np.int64(width))
+                x = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cell % width, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), x], names)
+
+        own = rows.select(*keys, F.col(features).alias("__f"))
+        return own.mapInArrow(run, StructType([*own.schema.fields[: len(keys)], StructField("x", ArrayType(IntegerType()))]))
     pieces = rows.select(*keys, F.explode(F.array_distinct(features)).alias("__f"))
     found = pieces.join(dic.select(F.col("feature").alias("__f"), F.col("id").alias("__n")), "__f").groupBy(*keys).agg(F.sort_array(F.collect_set("__n")).alias("x"))
     return rows.select(*keys).join(found, list(keys), "left").withColumn("x", F.coalesce("x", F.array().cast("array<int>")))
 
 
+def scored(instances: DataFrame, key: str, fields: list[StructField], score) -> DataFrame:
+    """(key, fields) of instances (key, x) by score(ids) -> tuple, in the rows' own partitions."""
+    names = [key, *(f.name for f in fields)]
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(1)
+            flat, lengths = x.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths)
+            made = [score(flat[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in made], to_arrow_type(f.dataType)) for c, f in enumerate(fields))], names)
+
+    own = instances.select(key, "x")
+    return own.mapInArrow(run, StructType([own.schema.fields[0], *fields]))
+
+
 def rerank(dic: DataFrame, sv: DataFrame) -> tuple[DataFrame, DataFrame]:
     """dic and sv with ids by frequency in sv, the most frequent first, ties by descending old id."""
     counts = sv.select(F.explode("x").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
@@ -80,12 +125,27 @@ def merge(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) ->
     return dic, old[1].select("sv_id", "alpha", F.sort_array("x").alias("x")).unionByName(moved.select(F.col("sv_id"), "alpha", "x"))
 
 
-def kernel_scores(instances: DataFrame, sv: DataFrame, key: str = "id") -> DataFrame:
+def kernel_scores(instances: DataFrame, sv: DataFrame, key: str = "id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(key, score) of instances (key, x): the sum over sv of alpha * (common + 1)^2.
 
-    Instances meet only the support vectors that share an id with them, by an equi-join on ids; the rest add alpha each, which
+    Where a square of ids and support vectors has at most max_broadcast cells, it is broadcast, and an instance's common ids with all
+    of them are one sum over its rows: no shuffle. Beyond, instances meet only the support vectors that share an id with them, by an equi-join on ids; the rest add alpha each, which
     is a constant. So there is no cross product.
     """
+    n, top = sv.agg(F.count("*"), F.coalesce(F.max(F.array_max("x")), F.lit(-1))).first()
+    if n * (top + 2) <= max_broadcast:
+        table = sv.select("alpha", "x").toArrow()
+        square = np.zeros((top + 2, n), np.uint8)
+        x = table.column("x").combine_chunks()
+        square[x.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), pc.list_value_length(x).to_numpy(zero_copy_only=False))] = 1
+        shared = sv.sparkSession.sparkContext.broadcast((square, table.column("alpha").to_numpy()))
+
+        def score(ids):
+            square, alpha = shared.value
+            common = square[np.minimum(ids, len(square) - 1)].sum(0, dtype=np.int64)
+            return (float((alpha * (common + 1) ** 2).sum()),)
+
+        return scored(instances, key, [StructField("score", DoubleType())], score)
     base = sv.agg(F.coalesce(F.sum("alpha"), F.lit(0.0)).alias("w0"))
     left = instances.select(key, F.explode("x").alias("f"))
     right = sv.select("sv_id", "alpha", F.explode("x").alias("f"))
@@ -132,8 +192,44 @@ def quantise(w0: DataFrame, w1: DataFrame, w2: DataFrame) -> tuple[DataFrame, Da
     )
 
 
-def expanded_scores(instances: DataFrame, q0: DataFrame, q1: DataFrame, q2: DataFrame, key: str = "id") -> DataFrame:
-    """(key, score, scaled) of instances (key, x): integer sums of the quantised weights, and the sum times the factor."""
+class Weights:
+    """Quantised weights for whole id arrays: those of ids, of pairs of the first `square` ids in a square, of other pairs by their first id."""
+
+    def __init__(self, w0: int, factor: float, ids: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray, v: np.ndarray, square: int = 2048):
+        n = int(max(ids.max(initial=-1), j.max(initial=-1))) + 2
+        self.w0, self.factor, self.one, self.side = w0, factor, np.zeros(n, np.int64), min(square, n)
+        self.one[ids] = w
+        self.square = np.zeros((self.side, self.side), np.int32)
+        hot = j < self.side
+        self.square[i[hot], j[hot]] = v[hot]
+        order = np.argsort(i[~hot], kind="stable")
+        self.j, self.v = j[~hot][order], v[~hot][order].astype(np.int64)
+        self.edge = np.searchsorted(i[~hot][order], np.arange(n + 1))
+
+    def score(self, x: np.ndarray) -> tuple[int, float]:
+        x = x[x < len(self.one)]
+        low = x[: np.searchsorted(x, self.side)]
+        total = self.w0 + int(self.one[x].sum()) + int(self.square[np.ix_(low, low)].sum(dtype=np.int64))
+        if len(self.j) and len(x):
+            first, size = self.edge[x], self.edge[x + 1] - self.edge[x]
+            at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+            own = np.zeros(len(self.one), bool)
+            own[x] = True
+            total += int(self.v[at][own[self.j[at]]].sum())
+        return total, total * self.factor
+
+
+def expanded_scores(instances: DataFrame, q0: DataFrame, q1: DataFrame, q2: DataFrame, key: str = "id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(key, score, scaled) of instances (key, x): integer sums of the quantised weights, and the sum times the factor.
+
+    Weights of at most max_broadcast bytes, 16 for a pair, are broadcast, and rows are scored where they are; larger ones are joined.
+    """
+    if 16 * (q1.count() + q2.count()) <= max_broadcast:
+        first = q0.first()
+        one, two = q1.toArrow(), q2.toArrow()
+        column = lambda t, c: t.column(c).to_numpy().astype(np.int64)
+        shared = q0.sparkSession.sparkContext.broadcast(Weights(first["w0"], first["factor"], column(one, "id"), column(one, "w"), column(two, "i"), column(two, "j"), column(two, "w")))
+        return scored(instances, key, [StructField("score", LongType()), StructField("scaled", DoubleType())], lambda x: shared.value.score(x))
     ids = instances.select(key, F.explode("x").alias("__f"))
     one = ids.join(q1, ids["__f"] == q1["id"]).select(ids[key], F.col("w").cast("long").alias("w"))
     two = instances.select(key, F.explode(id_pairs(F.col("x"))).alias("p")).select(key, "p.i", "p.j").join(q2, ["i", "j"]).select(key, F.col("w").cast("long").alias("w"))

@@ -53,13 +53,21 @@ def pair_features(chunks: Column, src: Column, dst: Column, src_children: Column
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 
-def static_pairs(df: DataFrame, *keys: str, reach: int = 1) -> DataFrame:
-    """(keys, src, dst, features) of all pairs at most `reach` chunks apart, without children. Rows grow with reach, not with its square."""
+def partners(chunks: Column, i: Column) -> Column:
+    """The chunks after the i-th that it is paired with: the next one, and the one it links to. A sentence of n chunks has fewer than 2n pairs."""
+    linked = F.get(chunks, i)["link"]
+    return F.when(linked > i + 1, F.array(i + 1, linked)).otherwise(F.array(i + 1))
 
-    def made(chunks):
-        n = F.size(chunks)
-        one = lambda i, j: F.struct(i.alias("src"), j.alias("dst"), pair_features(chunks, i, j).alias("features"))
-        return F.flatten(F.transform(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.transform(F.sequence(i + 1, F.least(n - 1, i + reach)), lambda j: one(i, j))))
 
+def each_pair(chunks: Column, made) -> Column:
+    """array of made(src, dst) for every chunk but the last and its partners."""
+    n = F.size(chunks)
+    first = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(first, lambda i: F.transform(partners(chunks, i), lambda j: made(i, j))))
+
+
+def static_pairs(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, src, dst, features) of each chunk with the next one and with the one it links to, without children."""
+    one = lambda chunks: each_pair(chunks, lambda i, j: F.struct(i.alias("src"), j.alias("dst"), pair_features(chunks, i, j).alias("features")))
     # pairs are made inside the row, so that a sentence isn't copied for each of its pairs
-    return df.select(*keys, F.explode_outer(let(F.col("chunks"), made)).alias("p")).where("p is not null").select(*keys, "p.src", "p.dst", "p.features")
+    return df.select(*keys, F.explode_outer(let(F.col("chunks"), one)).alias("p")).where("p is not null").select(*keys, "p.src", "p.dst", "p.features")

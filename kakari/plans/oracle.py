@@ -85,8 +85,7 @@ def _with(*parts: str, recursive: bool = False) -> str:
 
 _RULE = "linked AS MATERIALIZED (SELECT *, CASE WHEN chunk_id = n - 1 THEN -1 ELSE least(chunk_id + 1 + token_size % {step}, n - 1) END AS link FROM ch)"
 RULE = _RULE.format(step=2)
-_LIST = "lambda x: starts_with(x, 'A:') OR starts_with(x, 'FFS:')"
-_SHOWN = f"{{name}}shown AS MATERIALIZED (SELECT doc_id, line, list_distinct(list_filter(flatten(list(fs)), {_LIST})) AS fs FROM {{name}}feat GROUP BY ALL)"
+_SHOWN = "{name}shown AS MATERIALIZED (SELECT doc_id, line, list_distinct(flatten(list(fs))) AS fs FROM {name}feat GROUP BY ALL)"
 MODEL = ", ".join([
     base("chunks", "b_", "benchmark", "item_id"), features("b_"), _SHOWN.format(name="b_"),
     "bdic AS MATERIALIZED (SELECT f AS feature, CAST(row_number() OVER (ORDER BY count(*) DESC, f) - 1 AS INTEGER) AS id FROM (SELECT unnest(fs) AS f FROM b_shown) GROUP BY f)",
@@ -154,6 +153,9 @@ passed AS MATERIALIZED (SELECT doc_id, line, src AS chunk_id, linked AS link, la
 linked AS MATERIALIZED (SELECT ch.*, coalesce(p.link, -1) AS link, coalesce(p.score, 0) AS score FROM ch LEFT JOIN passed p USING (doc_id, line, chunk_id))"""
 
 
+_PAIRS = """pairs AS MATERIALIZED (SELECT doc_id, line, chunk_id AS src, CAST(chunk_id + 1 AS INTEGER) AS dst FROM linked WHERE chunk_id < n - 1 UNION ALL SELECT doc_id, line, chunk_id, link FROM linked WHERE link > chunk_id + 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     chunks, tokens, lines = base(), base("tokens"), base("lines")
     codes = "CASE " + " ".join(f"WHEN {' OR '.join(f'unicode(c) BETWEEN {a} AND {b}' for a, b in r)} THEN {k}" for k, r in T.CLASSES.items()) + f" ELSE {T.OTHER} END"
@@ -219,15 +221,21 @@ def oracle_sql() -> dict[str, str]:
         "chunk_spans": _with(chunks) + "SELECT doc_id, line, chunk_id, token_pos, token_size FROM ch",
         "head_func": _with(chunks) + "SELECT doc_id, line, chunk_id, head_pos, func_pos FROM ch",
         "chunk_features": _with(feats) + "SELECT doc_id, line, chunk_id, array_to_string(list_sort(fs), '|') AS features FROM feat",
-        "distance_bucket": _with(chunks) + f"SELECT doc_id, line, src, CAST(dst AS INTEGER) AS dst, {gap} AS bucket FROM (SELECT doc_id, line, chunk_id AS src, unnest(range(chunk_id + 1, least(n, chunk_id + 8))) AS dst FROM ch)",
-        "pair_features": _with(feats) + f"""SELECT a.doc_id, a.line, a.chunk_id AS src, b.chunk_id AS dst, array_to_string(list_sort(list_distinct(list_concat(['DIST:1', 'GNB:1'], {pick('a', 'F', 'S')}, {pick('b', 'F', 'D')}, coalesce({pick('l', 'L', 'L')}, []), coalesce({pick('r', 'R', 'R')}, [])))), '|') AS features
-          FROM feat a JOIN feat b ON b.doc_id = a.doc_id AND b.line = a.line AND b.chunk_id = a.chunk_id + 1 LEFT JOIN feat l ON l.doc_id = a.doc_id AND l.line = a.line AND l.chunk_id = a.chunk_id - 1 LEFT JOIN feat r ON r.doc_id = a.doc_id AND r.line = a.line AND r.chunk_id = a.chunk_id + 2""",
+        "distance_bucket": _with(chunks, _PASS, _PAIRS, recursive=True) + f"SELECT doc_id, line, src, dst, {gap} AS bucket FROM pairs",
+        "pair_features": _with(feats, _PASS, _PAIRS, recursive=True) + f""", roles AS MATERIALIZED (SELECT doc_id, line, chunk_id, {pick('feat', 'F', 'S')} AS s, {pick('feat', 'F', 'D')} AS d, {pick('feat', 'L', 'L')} AS l, {pick('feat', 'R', 'R')} AS r, {pick('feat', 'G', 'G')} AS g FROM feat),
+          between AS MATERIALIZED (SELECT p.doc_id, p.line, src, dst, list_distinct(flatten(list(g))) AS g FROM (SELECT *, unnest(range(src + 1, dst)) AS k FROM pairs) p JOIN roles ON roles.doc_id = p.doc_id AND roles.line = p.line AND roles.chunk_id = k GROUP BY ALL)
+          SELECT p.doc_id, p.line, p.src, p.dst, array_to_string(list_sort(list_distinct(list_concat([{gap.replace('src', 'p.src').replace('dst', 'p.dst')}], a.s, b.d, coalesce(l.l, []), coalesce(r.r, []), list_filter(coalesce(w.g, []), lambda x: x NOT IN ('GOB:1', 'GCB:1')),
+            [CASE WHEN list_contains(w.g, 'GOB:1') AND list_contains(w.g, 'GCB:1') THEN 'GBB:1' WHEN list_contains(w.g, 'GOB:1') THEN 'GOB:1' WHEN list_contains(w.g, 'GCB:1') THEN 'GCB:1' ELSE 'GNB:1' END]))), '|') AS features
+          FROM pairs p JOIN roles a ON a.doc_id = p.doc_id AND a.line = p.line AND a.chunk_id = p.src JOIN roles b ON b.doc_id = p.doc_id AND b.line = p.line AND b.chunk_id = p.dst
+          LEFT JOIN roles l ON l.doc_id = p.doc_id AND l.line = p.line AND l.chunk_id = p.src - 1 LEFT JOIN roles r ON r.doc_id = p.doc_id AND r.line = p.line AND r.chunk_id = p.dst + 1 LEFT JOIN between w ON w.doc_id = p.doc_id AND w.line = p.line AND w.src = p.src AND w.dst = p.dst""",
         "feature_dictionary": _with(feats, _SHOWN.format(name="")) + "SELECT f AS feature, CAST(row_number() OVER (ORDER BY count(*) DESC, f) - 1 AS INTEGER) AS id, count(*) AS n FROM (SELECT unnest(fs) AS f FROM shown) GROUP BY f",
         "feature_ids": _with(inst) + "SELECT doc_id, line, array_to_string(x, ',') AS x FROM inst",
         "active_features": _with(MODEL) + "SELECT feature, CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS id FROM bdic SEMI JOIN (SELECT id FROM svf WHERE alpha <> 0 GROUP BY id HAVING count(*) >= 2) USING (id)",
         "reranked": _with(MODEL) + "SELECT feature, CAST(row_number() OVER (ORDER BY coalesce(c, 0) DESC, id DESC) - 1 AS INTEGER) AS id FROM bdic LEFT JOIN (SELECT id, count(*) AS c FROM svf WHERE alpha > 0 GROUP BY id) USING (id)",
         "sorted_instances": _with(MODEL) + "SELECT CAST(row_number() OVER (ORDER BY x, sv_id) - 1 AS INTEGER) AS sv_id, alpha, array_to_string(x, ',') AS x FROM svx",
-        "kernel_score": _with(inst) + "SELECT doc_id, line, sum(alpha * (len(list_intersect(inst.x, svx.x)) + 1) ** 2) AS score FROM inst, svx GROUP BY ALL",
+        "kernel_score": _with(inst) + """, ids AS (SELECT doc_id, line, unnest(x) AS id FROM inst), met AS (SELECT doc_id, line, sv_id, alpha, count(*) AS s FROM ids JOIN svf USING (id) GROUP BY ALL),
+          more AS (SELECT doc_id, line, sum(alpha * s * (s + 2)) AS m FROM met GROUP BY ALL)
+          SELECT doc_id, line, (SELECT sum(alpha) FROM svx) + coalesce(m, 0) AS score FROM inst LEFT JOIN more USING (doc_id, line)""",
         "pke_w1": _with(MODEL, _W1) + "SELECT id, w FROM w1",
         "pke_w2": _with(MODEL, _W2) + "SELECT i, j, n, w FROM w2",
         "pke_quantise": _with(MODEL, _W1, _W2, _Q) + "SELECT i, j, w FROM q",

@@ -13,10 +13,10 @@ from kakari.operators import model as m
 from kakari.operators.chunks import chunk_by, select
 from kakari.operators.format import formatted
 from kakari.operators.links import depth_of, shift_reduce, with_links
-from kakari.operators.pairs import distance, static_pairs
+from kakari.operators.pairs import distance, each_pair, static_pairs
 from kakari.operators.tokens import tokenize, words
 from kakari.plans.pipeline import Parser
-from kakari.schema import chunk
+from kakari.schema import chunk, no_strings
 from kakari.sources.layers import read_layer
 from kakari.sources.raw import sentences_of
 from kakari.streaming.stream import windowed_counts
@@ -52,6 +52,11 @@ def selected(spark, sf_dir):
     return select(chunked(spark, sf_dir), IPA, ASCII_PUNCTUATION)
 
 
+def headed(spark, sf_dir):
+    """Heads and function words without features, for what doesn't read them."""
+    return select(chunked(spark, sf_dir), IPA, ASCII_PUNCTUATION, features=lambda *_: no_strings())
+
+
 def flat_tokens(df, *columns):
     # the outer kind, as for the other a filter on the size would be inferred, and the array computed twice
     return df.select(*KEYS, F.posexplode_outer("tokens").alias("tok_id", "t")).where("tok_id is not null").select(*KEYS, "tok_id", *columns)
@@ -99,7 +104,7 @@ def chunk_spans(spark, sf_dir):
 
 
 def head_func(spark, sf_dir):
-    return flat_chunks(selected(spark, sf_dir), "c.head_pos", "c.func_pos")
+    return flat_chunks(headed(spark, sf_dir), "c.head_pos", "c.func_pos")
 
 
 def chunk_features(spark, sf_dir):
@@ -107,18 +112,18 @@ def chunk_features(spark, sf_dir):
 
 
 def distance_bucket(spark, sf_dir):
-    df = chunked(spark, sf_dir).select(*KEYS, F.size("chunks").alias("n")).where("n > 1")
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda i: F.transform(F.sequence(i + 1, F.least(F.col("n") - 1, i + 7)), lambda j: F.struct(i.alias("src"), j.alias("dst")))))
-    return df.select(*KEYS, F.explode(pairs).alias("p")).select(*KEYS, "p.src", "p.dst", distance(F.col("p.src"), F.col("p.dst")).alias("bucket"))
+    """Each chunk with the next one and with the one it links to."""
+    pairs = T.let(F.col("chunks"), lambda cs: each_pair(cs, lambda i, j: F.struct(i.alias("src"), j.alias("dst"))))
+    return shift_reduced(chunked(spark, sf_dir)).select(*KEYS, F.explode(pairs).alias("p")).select(*KEYS, "p.src", "p.dst", distance(F.col("p.src"), F.col("p.dst")).alias("bucket"))
 
 
 def pair_features(spark, sf_dir):
-    return static_pairs(selected(spark, sf_dir), *KEYS).select(*KEYS, "src", "dst", F.array_join("features", "|").alias("features"))
+    return static_pairs(shift_reduced(selected(spark, sf_dir)), *KEYS).select(*KEYS, "src", "dst", F.array_join("features", "|").alias("features"))
 
 
 def sentence_features(df, *keys):
-    """What a sentence's chunks show their heads, once each."""
-    return df.select(*keys, F.array_distinct(F.filter(F.flatten(F.transform("chunks", lambda c: c["features"])), lambda x: F.startswith(x, F.lit("A:")) | F.startswith(x, F.lit("FFS:")))).alias("features"))
+    """All features of a sentence's chunks, once each."""
+    return df.select(*keys, F.array_distinct(F.flatten(F.transform("chunks", lambda c: c["features"]))).alias("features"))
 
 
 def instances(spark, sf_dir):
@@ -211,7 +216,7 @@ def tree_depth(spark, sf_dir):
 
 
 def _text(spark, sf_dir, style, layer=4):
-    return by_rule(selected(spark, sf_dir)).select(*KEYS, formatted(style, layer).alias("text"))
+    return by_rule(headed(spark, sf_dir)).select(*KEYS, formatted(style, layer).alias("text"))
 
 
 def format_lattice(spark, sf_dir):
@@ -345,7 +350,7 @@ def event_windows(spark, sf_dir):
 
 def flagship(spark, sf_dir):
     """Documents to linked lattices."""
-    return shift_reduced(selected(spark, sf_dir)).select(*KEYS, formatted("lattice").alias("text"))
+    return shift_reduced(headed(spark, sf_dir)).select(*KEYS, formatted("lattice").alias("text"))
 
 
 QUERIES = (
