@@ -51,7 +51,7 @@ def feistel(x: np.ndarray, n: int, seed: int, backwards: bool = False) -> np.nda
     return out
 
 
-def number_rows(df: DataFrame, max_ranges: int = 1 << 12, rows_per_range: int = 1 << 14) -> tuple[DataFrame, str, int]:
+def number_rows(df: DataFrame, max_ranges: int = 1 << 13, rows_per_range: int = 1 << 12) -> tuple[DataFrame, str, int]:
     """df with a column of global row numbers in order of doc_id (nulls first), its name, and the number of rows.
 
     doc_ids, whole numbers, are cut into at most max_ranges ranges at their quantiles, so gaps and far outliers don't matter. A doc_id
