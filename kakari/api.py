@@ -38,11 +38,11 @@ def parse_to_string(spark: SparkSession, sentence: str, style: int | str = 0, **
     return parse_to_string_df(spark.createDataFrame([(sentence,)], "sentence string"), style, **options).first().text
 
 
-def read(spark: SparkSession, paths: str | list[str], layer: int = RAW, charset: str = "UTF-8") -> DataFrame:
-    """Rows of a layer from files, all of those given."""
+def read(spark: SparkSession, paths: str | list[str], layer: int = RAW, charset: str = "UTF-8", blank_ends: bool = True) -> DataFrame:
+    """Rows of a layer from files, all of those given. Where every block ends with EOS (blank_ends=False), large files are split over tasks; otherwise a file of a higher layer is one row."""
     if layer == RAW:
         return read_sentences(spark, paths) if T.charset(charset) == "UTF-8" else read_encoded(spark, paths, charset)
-    return read_layer(read_blocks(spark, paths), layer)
+    return read_layer(read_blocks(spark, paths, blank_ends), layer)
 
 
 def tokens_table(df: DataFrame, *keys: str) -> DataFrame:

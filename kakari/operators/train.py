@@ -44,12 +44,19 @@ def link_examples(df: DataFrame, *keys: str) -> DataFrame:
         return F.when(free & (F.get(links, dst - 1)["dst"] == dst), F.array().cast("array<struct<src:int,dst:int>>")).otherwise(F.transform(tried, lambda s: F.struct(s.cast("int").alias("src"), dst.cast("int").alias("dst"))))
 
     order = F.when(n > 2, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    rows = linked.select(*keys, "chunks", "__gold", "__links", F.explode(let(F.col("__links"), lambda links: F.flatten(F.transform(order, lambda dst: visited(dst, links))))).alias("__p"))
-    rows = rows.select(*keys, "chunks", "__gold", "__links", F.col("__p.src").alias("src"), F.col("__p.dst").alias("dst"))
-    # children found before this pair is tried, in order of chunk
-    kids = lambda of, before: F.transform(F.filter("__links", lambda x: (x["dst"] == of) & ~x["fake"] & before(x)), lambda x: x["src"])
-    made = pair_features(F.col("chunks"), F.col("src"), F.col("dst"), kids(F.col("src"), lambda x: F.lit(True)), kids(F.col("dst"), lambda x: x["src"] > F.col("src")))
-    return rows.select(*keys, "src", "dst", F.when(F.get("__gold", F.col("src")) == F.col("dst"), 1).otherwise(-1).alias("label"), made.alias("features"))
+    pairs = let(F.col("__links"), lambda links: F.flatten(F.transform(order, lambda dst: visited(dst, links))))
+
+    def example(row, p):
+        links, src, dst = row["links"], p["src"], p["dst"]
+        # children found before this pair is tried, in order of chunk
+        kids = lambda of, before: F.transform(F.filter(links, lambda x: (x["dst"] == of) & ~x["fake"] & before(x)), lambda x: x["src"])
+        made = pair_features(row["chunks"], src, dst, kids(src, lambda x: F.lit(True)), kids(dst, lambda x: x["src"] > src))
+        return F.struct(src.alias("src"), dst.alias("dst"), F.when(F.get(row["gold"], src) == dst, 1).otherwise(-1).alias("label"), made.alias("features"))
+
+    # examples are made inside the row, so that a sentence isn't copied for each of them
+    row = F.struct(F.col("chunks"), F.col("__gold").alias("gold"), F.col("__links").alias("links"))
+    rows = linked.select(*keys, let(row, lambda r: F.transform(pairs, lambda p: example(r, p))).alias("__p"))
+    return rows.select(*keys, F.explode_outer("__p").alias("__p")).where("__p is not null").select(*keys, "__p.src", "__p.dst", "__p.label", "__p.features")
 
 
 @dataclass

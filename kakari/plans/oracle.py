@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from kakari.functions import text as T
-from kakari.functions.patterns import ASCII_PUNCTUATION, CASE, CLOSE, DYNAMIC, IPA, NOUN, OPEN, PARTICLE, SYMBOL, VERB
-from kakari.operators.sequence import CHUNK_TEMPLATES
+from kakari.functions.patterns import ASCII_PUNCTUATION, CASE, CLOSE, DYNAMIC, IPA, JUMAN, NOUN, OPEN, PARTICLE, SYMBOL, UNIDIC, VERB, PosSet
+from kakari.operators.sequence import CHUNK_TEMPLATES, ENTITY_TEMPLATES
 from kakari.operators.tokens import FUNCTION_WORDS, VERBAL
 from kakari.plans.queries import ASCII, STEPS, WIDE
 
@@ -37,40 +37,42 @@ _TOKENS = f"""{{name}}tk AS MATERIALIZED (
   SELECT *, {_POS} AS feature FROM (
   SELECT doc_id, line, unnest(w) AS surface, CAST(unnest(range(0, len(w))) AS INTEGER) AS i FROM (
   SELECT doc_id, line, regexp_extract_all(sentence, '[A-Za-zÀ-ɏ]+|[0-9]+|[^ \\t\\r\\n]') AS w FROM {{name}}sent))))))"""
-_CHUNKS = f"""{{name}}ch AS MATERIALIZED (
-  SELECT *, CASE WHEN f0 < head_pos THEN head_pos ELSE f0 END AS func_pos, CAST(count(*) OVER (PARTITION BY doc_id, line) AS INTEGER) AS n FROM (
-  SELECT doc_id, line, chunk_id, min(i) AS token_pos, CAST(count(*) AS INTEGER) AS token_size, coalesce(max(i) FILTER ({IPA.head.sql('feature')}), min(i)) - min(i) AS head_pos,
-    coalesce(max(i) FILTER ({IPA.func.sql('feature')}), min(i)) - min(i) AS f0 FROM {{name}}tk GROUP BY ALL))"""
+def _chunks(ps: PosSet) -> str:
+    func = "CASE WHEN f0 < head_pos THEN head_pos ELSE f0 END" if ps.func_after_head else "f0"
+    return f"""{{name}}ch AS MATERIALIZED (
+  SELECT *, {func} AS func_pos, CAST(count(*) OVER (PARTITION BY doc_id, line) AS INTEGER) AS n FROM (
+  SELECT doc_id, line, chunk_id, min(i) AS token_pos, CAST(count(*) AS INTEGER) AS token_size, coalesce(max(i) FILTER ({ps.head.sql('feature')}), min(i)) - min(i) AS head_pos,
+    coalesce(max(i) FILTER ({ps.func.sql('feature')}), min(i)) - min(i) AS f0 FROM {{name}}tk GROUP BY ALL))"""
 
 
-def base(upto: str = "chunks", name: str = "", table: str = "documents", key: str = "doc_id") -> str:
+def base(upto: str = "chunks", name: str = "", table: str = "documents", key: str = "doc_id", ps: PosSet = IPA) -> str:
     parts = [_LINES.format(name=name, table=table, key=key)]
     if upto != "lines":
         parts.append(_TOKENS.replace("{name}", name))
     if upto == "chunks":
-        parts.append(_CHUNKS.replace("{name}", name))
+        parts.append(_chunks(ps).replace("{name}", name))
     return ", ".join(parts)
 
 
 _FIELDS = """regexp_extract_all(feature || ',', '("[^"]*(?:""[^"]*)*"|[^,]*),', 1)"""
 
 
-def _token_features(header: str, t: str) -> str:
+def _token_features(header: str, t: str, n: int = 4) -> str:
     """The features of one token, as a list; symbols' quoted fields come after the levels."""
-    levels = f"list_filter(string_split({t}.feature, ',')[1:4], lambda x: x <> '*')"
-    form = f"string_split({t}.feature, ',')[6]"
+    levels = f"list_filter(string_split({t}.feature, ',')[1:{n}], lambda x: x <> '*')"
+    form = f"string_split({t}.feature, ',')[{n + 2}]"
     return f"""list_concat(['{header}S:' || {t}.norm], list_transform({levels}, lambda x, k: '{header}P' || (k - 1) || ':' || x), CASE WHEN {form} = '*' THEN [] ELSE ['{header}F:' || {form}] END)"""
 
 
-def features(name: str = "") -> str:
+def features(name: str = "", n: int = 4) -> str:
     said = " UNION ALL ".join(
         f"SELECT doc_id, line, chunk_id, i, {r} AS r, [{', '.join(quoted(n) + ' || norm' if n.endswith(':') else quoted(n) for n in names)}] AS f FROM {name}tk WHERE {test}"
         for r, (test, names) in enumerate(((ASCII_PUNCTUATION.sql("norm", False), ("GPUNC:", "FPUNC:")), (OPEN.sql("norm", False), ("GOB:", "FOB:", "GOB:1", "FOB:1")), (CLOSE.sql("norm", False), ("GCB:", "FCB:", "GCB:1", "FCB:1")), ("part", ("FCASE:",))))
     )
-    pos = "array_to_string(list_filter(string_split(f.feature, ',')[1:4], lambda x: x <> '*'), '-')"
-    form = "string_split(f.feature, ',')[6]"
+    pos = f"array_to_string(list_filter(string_split(f.feature, ',')[1:{n}], lambda x: x <> '*'), '-')"
+    form = f"string_split(f.feature, ',')[{n + 2}]"
     return f"""{name}said AS ({said}),
-{name}own AS (SELECT c.doc_id, c.line, c.chunk_id, list_concat({_token_features('FH', 'h')}, {_token_features('FF', 'f')}, {_token_features('FL', 'l')}, {_token_features('FR', 'r')},
+{name}own AS (SELECT c.doc_id, c.line, c.chunk_id, list_concat({_token_features('FH', 'h', n)}, {_token_features('FF', 'f', n)}, {_token_features('FL', 'l', n)}, {_token_features('FR', 'r', n)},
     ['LF:' || f.norm, 'RL:' || l.norm, 'RH:' || h.norm, 'RF:' || f.norm], CASE WHEN c.chunk_id = 0 THEN ['FBOS:1'] ELSE [] END, CASE WHEN c.chunk_id = c.n - 1 THEN ['FEOS:1'] ELSE [] END,
     CASE WHEN f.part THEN ['GCASE:' || f.norm] ELSE [] END, ['A:' || CASE WHEN {DYNAMIC.sql('f.feature')} THEN f.norm WHEN {form} <> '*' THEN {form} ELSE {pos} END]) AS fs
   FROM {name}ch c JOIN {name}tk h ON h.doc_id = c.doc_id AND h.line = c.line AND h.i = c.token_pos + c.head_pos JOIN {name}tk f ON f.doc_id = c.doc_id AND f.line = c.line AND f.i = c.token_pos + c.func_pos
@@ -104,12 +106,12 @@ q AS MATERIALIZED (SELECT -1 AS i, -1 AS j, CAST(trunc(sum(alpha) / any_value(fa
   UNION ALL SELECT i, j, CAST(trunc(w / factor) AS INTEGER) AS t FROM w2, factor WHERE trunc(w / factor) <> 0)"""
 
 
-def _template(cells) -> str:
+def _template(cells, names=("norm", "pos"), i: str = "i", n: str = "n_tok") -> str:
     def cell(offset, column):
-        name = ("norm", "pos")[column]
+        name = names[column]
         if offset == 0:
             return name
-        beyond = f"'_B' || (i + {offset})" if offset < 0 else f"'_B+' || (i + {offset} - n_tok + 1)"
+        beyond = f"'_B' || ({i} + {offset})" if offset < 0 else f"'_B+' || ({i} + {offset} - {n} + 1)"
         return f"coalesce({'lag' if offset < 0 else 'lead'}({name}, {abs(offset)}) OVER s, {beyond})"
 
     return " || '/' || ".join(cell(*c) for c in cells)
@@ -167,7 +169,37 @@ def oracle_sql() -> dict[str, str]:
     feats = f"{chunks}, {features()}"
     gap = "'DIST:' || CASE WHEN dst - src = 1 THEN '1' WHEN dst - src <= 5 THEN '2-5' ELSE '6-' END"
     pick = lambda t, a, b: f"list_transform(list_filter({t}.fs, lambda x: x[1] = '{a}'), lambda x: '{b}' || x[2:])"
+    between = lambda pairs: f"""roles AS MATERIALIZED (SELECT doc_id, line, chunk_id, {pick('feat', 'F', 'S')} AS s, {pick('feat', 'F', 'D')} AS d, {pick('feat', 'L', 'L')} AS l, {pick('feat', 'R', 'R')} AS r, {pick('feat', 'G', 'G')} AS g, {pick('feat', 'A', 'A')} AS a FROM feat),
+      between AS MATERIALIZED (SELECT p.doc_id, p.line, src, dst, list_distinct(flatten(list(g))) AS g FROM (SELECT *, unnest(range(src + 1, dst)) AS k FROM {pairs}) p JOIN roles ON roles.doc_id = p.doc_id AND roles.line = p.line AND roles.chunk_id = k GROUP BY ALL)"""
+    of_pair = lambda *more: f"""array_to_string(list_sort(list_distinct(list_concat([{gap.replace('src', 'p.src').replace('dst', 'p.dst')}], a.s, b.d, coalesce(l.l, []), coalesce(r.r, []), list_filter(coalesce(w.g, []), lambda x: x NOT IN ('GOB:1', 'GCB:1')), {''.join(x + ', ' for x in more)}
+      [CASE WHEN list_contains(w.g, 'GOB:1') AND list_contains(w.g, 'GCB:1') THEN 'GBB:1' WHEN list_contains(w.g, 'GOB:1') THEN 'GOB:1' WHEN list_contains(w.g, 'GCB:1') THEN 'GCB:1' ELSE 'GNB:1' END]))), '|')"""
+    pair = lambda t: f"{t}.doc_id = p.doc_id AND {t}.line = p.line AND {t}.src = p.src AND {t}.dst = p.dst"
+    same = lambda t, k: f"{t}.doc_id = p.doc_id AND {t}.line = p.line AND {t}.chunk_id = {k}"
+    joined = lambda pairs: f"""FROM {pairs} p JOIN roles a ON {same('a', 'p.src')} JOIN roles b ON {same('b', 'p.dst')} LEFT JOIN roles l ON {same('l', 'p.src - 1')} LEFT JOIN roles r ON {same('r', 'p.dst + 1')} LEFT JOIN between w ON {pair('w')}"""
+    walk = f"""gold AS MATERIALIZED (SELECT doc_id, line, list(link ORDER BY chunk_id) AS g, any_value(n) AS n FROM linked GROUP BY doc_id, line HAVING any_value(n) >= 2),
+      walk AS (SELECT doc_id, line, g, n, 1 AS nxt, [0] AS stack, -1 AS src, -1 AS dst, false AS label FROM gold
+        UNION ALL SELECT doc_id, line, g, n, CASE WHEN ok AND len(stack) > 1 THEN nxt ELSE nxt + 1 END, CASE WHEN ok AND len(stack) > 1 THEN stack[2:] WHEN ok THEN [nxt] ELSE list_prepend(nxt, stack) END, stack[1], nxt, ok FROM (SELECT *, g[stack[1] + 1] = nxt AS ok FROM walk WHERE nxt < n - 1)),
+      tried AS MATERIALIZED (SELECT doc_id, line, src, dst, CASE WHEN label THEN 1 ELSE -1 END AS label FROM walk WHERE src >= 0),
+      {between('tried')}, kids AS MATERIALIZED (SELECT doc_id, line, link, chunk_id, a FROM linked JOIN roles USING (doc_id, line, chunk_id)),
+      of_src AS MATERIALIZED (SELECT doc_id, line, link AS src, list_transform(flatten(list(a)), lambda x: 'a' || x[2:]) AS ks FROM kids GROUP BY ALL),
+      of_dst AS MATERIALIZED (SELECT t.doc_id, t.line, src, dst, flatten(list(a)) AS kd FROM tried t JOIN kids k ON k.doc_id = t.doc_id AND k.line = t.line AND k.link = t.dst AND k.chunk_id > t.src GROUP BY ALL)
+      SELECT p.doc_id, p.line, p.src, p.dst, label, {of_pair('coalesce(ks, [])', 'coalesce(kd, [])')} AS features {joined('tried')} LEFT JOIN of_src ON of_src.doc_id = p.doc_id AND of_src.line = p.line AND of_src.src = p.src LEFT JOIN of_dst ON {pair('of_dst')}"""
+    tags = lambda ps: f"SELECT doc_id, line, chunk_id, '{ps.name}' AS tags, head_pos, {'greatest(head_pos, f0)' if ps.func_after_head else 'f0'} AS func_pos FROM (SELECT doc_id, line, chunk_id, coalesce(max(i) FILTER ({ps.head.sql('feature')}), min(i)) - min(i) AS head_pos, coalesce(max(i) FILTER ({ps.func.sql('feature')}), min(i)) - min(i) AS f0 FROM tk GROUP BY ALL)"
+    marked = lambda ps: _with(base(ps=ps), features(n=ps.select_levels)) + "SELECT doc_id, line, chunk_id, array_to_string(list_sort(fs), '|') AS features FROM feat"
     pos = "array_to_string(list_filter(string_split(feature, ',')[1:4], lambda x: x <> '*'), '-')"
+    numeral = f"starts_with(feature, '{IPA.numeral}')"
+    entity = f"""shapes AS MATERIALIZED ({shape.replace('surface', 'norm')}),
+      rows_ AS (SELECT *, row_number() OVER s - 1 AS row, count(*) OVER (PARTITION BY doc_id, line) AS n_rows FROM (SELECT tk.doc_id, tk.line, i, norm, {pos} AS pos, shape, {numeral} AND coalesce(lag({numeral}) OVER (PARTITION BY tk.doc_id, tk.line ORDER BY i), false) AS tail FROM tk JOIN shapes ON shapes.doc_id = tk.doc_id AND shapes.line = tk.line AND tok_id = i) WHERE NOT tail WINDOW s AS (PARTITION BY doc_id, line ORDER BY i))
+      SELECT doc_id, line, CAST(row AS INTEGER) AS row, {' || chr(124) || '.join(f"{quoted(name + chr(58))} || {_template(cells, ('norm', 'shape', 'pos'), 'row', 'n_rows')}" for name, cells in ENTITY_TEMPLATES.items())} AS features FROM rows_ WINDOW s AS (PARTITION BY doc_id, line ORDER BY row)"""
+    csv = """array_to_string(list_transform(fs, lambda x: CASE WHEN regexp_matches(x, '[,"]') THEN '"' || replace(x, '"', '""') || '"' ELSE x END), ',')"""
+    layers = f"""heads AS (SELECT doc_id, line, token_pos, 2 AS layer, '* ' || chunk_id || ' ' || link || 'D ' AS h FROM linked UNION ALL SELECT doc_id, line, token_pos, 3, '* ' || chunk_id || ' ' || link || 'D ' || head_pos || '/' || func_pos || ' 0.000000 ' || {csv} FROM linked JOIN feat USING (doc_id, line, chunk_id)),
+      pieces AS (SELECT doc_id, line, layer, i, 1 AS o, surface || chr(9) || feature || chr(10) AS l FROM tk, (VALUES (1), (2), (3)) v(layer) UNION ALL SELECT doc_id, line, layer, token_pos, 0, h || chr(10) FROM heads)
+      SELECT doc_id, line, layer, string_agg(l, '' ORDER BY i, o) || 'EOS' || chr(10) AS text FROM pieces GROUP BY ALL UNION ALL SELECT doc_id, line, layer, 'EOS' || chr(10) FROM {_EMPTY}, (VALUES (1), (2), (3)) v(layer)"""
+    talk = ", ".join([
+        base("chunks", "t_", "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"), features("t_"), _SHOWN.format(name="t_"),
+        "told AS MATERIALIZED (SELECT doc_id, line, unnest(fs) AS feature FROM t_shown)",
+        "mdic AS MATERIALIZED (SELECT feature, id FROM bdic UNION ALL SELECT feature, CAST((SELECT max(id) FROM bdic) + row_number() OVER (ORDER BY feature) AS INTEGER) FROM (SELECT DISTINCT feature FROM told ANTI JOIN bdic USING (feature)))",
+    ])
     inst = f"{MODEL}, {_INST}"
     tag = "regexp_replace(regexp_replace(sentence, '[<>]', '', 'g'), '(^| )([A-Z][a-z]+)([ .,])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g')"
     align = """whole AS (SELECT doc_id, line, chunk_id, link, sum(length) OVER (PARTITION BY doc_id, line ORDER BY chunk_id) AS stop FROM (SELECT l.doc_id, l.line, l.chunk_id, l.link, sum(length(t.surface)) AS length FROM linked l JOIN tk t USING (doc_id, line, chunk_id) GROUP BY ALL)),
@@ -222,12 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "head_func": _with(chunks) + "SELECT doc_id, line, chunk_id, head_pos, func_pos FROM ch",
         "chunk_features": _with(feats) + "SELECT doc_id, line, chunk_id, array_to_string(list_sort(fs), '|') AS features FROM feat",
         "distance_bucket": _with(chunks, _PASS, _PAIRS, recursive=True) + f"SELECT doc_id, line, src, dst, {gap} AS bucket FROM pairs",
-        "pair_features": _with(feats, _PASS, _PAIRS, recursive=True) + f""", roles AS MATERIALIZED (SELECT doc_id, line, chunk_id, {pick('feat', 'F', 'S')} AS s, {pick('feat', 'F', 'D')} AS d, {pick('feat', 'L', 'L')} AS l, {pick('feat', 'R', 'R')} AS r, {pick('feat', 'G', 'G')} AS g FROM feat),
-          between AS MATERIALIZED (SELECT p.doc_id, p.line, src, dst, list_distinct(flatten(list(g))) AS g FROM (SELECT *, unnest(range(src + 1, dst)) AS k FROM pairs) p JOIN roles ON roles.doc_id = p.doc_id AND roles.line = p.line AND roles.chunk_id = k GROUP BY ALL)
-          SELECT p.doc_id, p.line, p.src, p.dst, array_to_string(list_sort(list_distinct(list_concat([{gap.replace('src', 'p.src').replace('dst', 'p.dst')}], a.s, b.d, coalesce(l.l, []), coalesce(r.r, []), list_filter(coalesce(w.g, []), lambda x: x NOT IN ('GOB:1', 'GCB:1')),
-            [CASE WHEN list_contains(w.g, 'GOB:1') AND list_contains(w.g, 'GCB:1') THEN 'GBB:1' WHEN list_contains(w.g, 'GOB:1') THEN 'GOB:1' WHEN list_contains(w.g, 'GCB:1') THEN 'GCB:1' ELSE 'GNB:1' END]))), '|') AS features
-          FROM pairs p JOIN roles a ON a.doc_id = p.doc_id AND a.line = p.line AND a.chunk_id = p.src JOIN roles b ON b.doc_id = p.doc_id AND b.line = p.line AND b.chunk_id = p.dst
-          LEFT JOIN roles l ON l.doc_id = p.doc_id AND l.line = p.line AND l.chunk_id = p.src - 1 LEFT JOIN roles r ON r.doc_id = p.doc_id AND r.line = p.line AND r.chunk_id = p.dst + 1 LEFT JOIN between w ON w.doc_id = p.doc_id AND w.line = p.line AND w.src = p.src AND w.dst = p.dst""",
+        "pair_features": _with(feats, _PASS, _PAIRS, recursive=True) + f", {between('pairs')} SELECT p.doc_id, p.line, p.src, p.dst, {of_pair()} AS features {joined('pairs')}",
         "feature_dictionary": _with(feats, _SHOWN.format(name="")) + "SELECT f AS feature, CAST(row_number() OVER (ORDER BY count(*) DESC, f) - 1 AS INTEGER) AS id, count(*) AS n FROM (SELECT unnest(fs) AS f FROM shown) GROUP BY f",
         "feature_ids": _with(inst) + "SELECT doc_id, line, array_to_string(x, ',') AS x FROM inst",
         "active_features": _with(MODEL) + "SELECT feature, CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS id FROM bdic SEMI JOIN (SELECT id FROM svf WHERE alpha <> 0 GROUP BY id HAVING count(*) >= 2) USING (id)",
@@ -265,5 +292,14 @@ def oracle_sql() -> dict[str, str]:
         "viterbi_bi": _with(tokens, vit, recursive=True),
         "stream_parse": _with(tokens) + "SELECT doc_id, line, CAST(count(i) AS INTEGER) AS n_tokens, CAST(coalesce(max(chunk_id) + 1, 0) AS INTEGER) AS n_chunks FROM sent LEFT JOIN tk USING (doc_id, line) GROUP BY ALL",
         "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
+        "head_func_tagsets": _with(tokens) + f"{tags(JUMAN)} UNION ALL {tags(UNIDIC)}",
+        "chunk_features_juman": marked(JUMAN),
+        "chunk_features_unidic": marked(UNIDIC),
+        "format_layers": _with(feats, RULE) + f"SELECT * FROM (WITH {layers}) UNION ALL SELECT doc_id, line, 4 AS layer, a.text || b.text AS text FROM (WITH {tree}) a JOIN (WITH {_LATTICE.format(score="'0.000000'", of='linked')}) b USING (doc_id, line)",
+        "entity_features": _with(tokens) + f"SELECT * FROM (WITH {entity})",
+        "link_examples": _with(feats, _PASS, recursive=True) + f", {walk}",
+        "merged_dictionary": _with(MODEL, talk) + "SELECT feature, id FROM mdic",
+        "merged_vectors": _with(MODEL, talk) + """SELECT sv_id, alpha, array_to_string(x, ',') AS x FROM svx UNION ALL
+          SELECT (SELECT max(sv_id) FROM svx) + 1 + doc_id * 100 + line AS sv_id, (doc_id % 7 - 3) / 32.0::DOUBLE AS alpha, array_to_string(list_sort(list(id)), ',') AS x FROM told JOIN mdic USING (feature) GROUP BY doc_id, line""",
         "flagship": _with(chunks, _PASS, _LATTICE.format(score="printf('%.6f', score::DOUBLE)", of="linked"), recursive=True),
     }

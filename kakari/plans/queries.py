@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from kakari.checkpoint import cut, temporary
 from kakari.functions import text as T
-from kakari.functions.patterns import ASCII_PUNCTUATION, IPA
-from kakari.operators import convert, entities, evaluate, sequence
+from kakari.functions.patterns import ASCII_PUNCTUATION, IPA, JUMAN, UNIDIC
+from kakari.operators import convert, entities, evaluate, sequence, train
 from kakari.operators import model as m
 from kakari.operators.chunks import chunk_by, select
 from kakari.operators.format import formatted
-from kakari.operators.links import depth_of, shift_reduce, with_links
+from kakari.operators.links import depth_of, link_sentences, shift_reduce, with_links
 from kakari.operators.pairs import distance, each_pair, static_pairs
 from kakari.operators.tokens import tokenize, words
 from kakari.plans.pipeline import Parser
@@ -126,6 +126,25 @@ def sentence_features(df, *keys):
     return df.select(*keys, F.array_distinct(F.flatten(F.transform("chunks", lambda c: c["features"]))).alias("features"))
 
 
+def _by_tags(spark, sf_dir, tags):
+    return select(chunked(spark, sf_dir), tags, ASCII_PUNCTUATION)
+
+
+def head_func_tagsets(spark, sf_dir):
+    """Heads and function words as the other two tag sets read them."""
+    base = chunked(spark, sf_dir)
+    sides = [flat_chunks(select(base, tags, features=lambda *_: no_strings()), F.lit(tags.name).alias("tags"), "c.head_pos", "c.func_pos") for tags in (JUMAN, UNIDIC)]
+    return sides[0].unionByName(sides[1])
+
+
+def chunk_features_juman(spark, sf_dir):
+    return flat_chunks(_by_tags(spark, sf_dir, JUMAN), F.array_join(F.array_sort("c.features"), "|").alias("features"))
+
+
+def chunk_features_unidic(spark, sf_dir):
+    return flat_chunks(_by_tags(spark, sf_dir, UNIDIC), F.array_join(F.array_sort("c.features"), "|").alias("features"))
+
+
 def instances(spark, sf_dir):
     return sentence_features(selected(spark, sf_dir), *KEYS)
 
@@ -235,6 +254,12 @@ def format_conll(spark, sf_dir):
     return _text(spark, sf_dir, "conll")
 
 
+def format_layers(spark, sf_dir):
+    """Lattices of the token, chunk and feature layers, and tree and lattice of the last one."""
+    texts = [F.struct(F.lit(layer).alias("layer"), formatted(style, layer).alias("text")) for style, layer in (("lattice", 1), ("lattice", 2), ("lattice", 3), ("tree_lattice", 4))]
+    return by_rule(selected(spark, sf_dir)).select(*KEYS, F.explode(F.array(*texts)).alias("t")).select(*KEYS, "t.layer", "t.text")
+
+
 def read_layer_blocks(spark, sf_dir):
     """Written as blocks and read again: every chunk as it was."""
     back = read_layer(_text(spark, sf_dir, "lattice").where("text <> 'EOS\\n'").withColumn("text", F.regexp_replace("text", "EOS\\n$", "")), 4)
@@ -321,6 +346,11 @@ def crf_features(spark, sf_dir):
     return made.select(*KEYS, "tok_id", F.array_join("f", "|").alias("features"))
 
 
+def entity_features(spark, sf_dir):
+    made = tokens(spark, sf_dir).select(*KEYS, F.posexplode(T.let(entities.entity_rows(F.col("tokens"), IPA), lambda r: sequence.template_features(r, ["surface", "shape", "pos"], sequence.ENTITY_TEMPLATES))).alias("row", "f"))
+    return made.select(*KEYS, "row", F.array_join("f", "|").alias("features"))
+
+
 STEPS = [[1, 0], [0, 3]]
 
 
@@ -330,6 +360,44 @@ def viterbi_bi(spark, sf_dir):
     return best.select(*KEYS, F.posexplode("y").alias("tok_id", "label"))
 
 
+def link_examples(spark, sf_dir):
+    """What the link model is trained on: the pairs that the pass visits under given links."""
+    made = train.link_examples(shift_reduced(selected(spark, sf_dir)), *KEYS)
+    return made.select(*KEYS, "src", "dst", "label", F.array_join("features", "|").alias("features"))
+
+
+def _merged(spark, sf_dir):
+    """The model over the benchmark, and one over the conversations' sentences that continues it."""
+    talk = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    rows = sentence_features(select(chunk_by(tokenize(sentences_of(talk))), IPA, ASCII_PUNCTUATION), *KEYS)
+    dic = cut(m.dictionary(rows.select(F.explode("features").alias("feature"))))
+    sv = m.to_ids(rows, dic, *KEYS).select((F.col("doc_id") * 100 + F.col("line")).alias("sv_id"), ((F.col("doc_id") % 7 - 3) / F.lit(32.0)).alias("alpha"), "x")
+    return m.merge(vectors(spark, sf_dir), (dic, cut(sv)))
+
+
+def merged_dictionary(spark, sf_dir):
+    return _merged(spark, sf_dir)[0]
+
+
+def merged_vectors(spark, sf_dir):
+    return _merged(spark, sf_dir)[1].select("sv_id", "alpha", F.array_join("x", ",").alias("x"))
+
+
+def by_function_word(df):
+    """Given links to learn from: a chunk whose function word is "of" links to the next chunk, any other to the last."""
+    given = lambda c, i, ts, n: F.when(i == n - 1, -1).when(F.lower(F.get(ts, c["token_pos"] + c["func_pos"])["norm"]) == "of", i + 1).otherwise(n - 1)
+    linked = lambda c, i, ts, n: chunk(given(c, i, ts, n), c["head_pos"], c["func_pos"], c["token_pos"], c["token_size"], c["score"], c["features"])
+    return df.withColumn("chunks", T.let(F.struct("tokens", "chunks"), lambda r: F.transform(r["chunks"], lambda c, i: linked(c, i, r["tokens"], F.size(r["chunks"])))))
+
+
+def trained_links(spark, sf_dir):
+    """A link model trained on the benchmark's sentences, compiled, and the links it gives to all documents."""
+    lines = select(chunk_by(tokenize(sentences_of(table(spark, sf_dir, "benchmark"), "item_id"))), IPA, ASCII_PUNCTUATION)
+    params, dic, sv, _ = train.train_links(by_function_word(lines), "item_id", "line", cost=0.05)
+    model = m.PairModel.compile(dic, sv, params=params)
+    return flat_chunks(link_sentences(selected(spark, sf_dir), model), "c.link")
+
+
 def parse_counts(df):
     return Parser(punctuation=ASCII_PUNCTUATION).parse(df).select(*KEYS, F.size("tokens").alias("n_tokens"), F.size("chunks").alias("n_chunks"))
 
@@ -357,6 +425,7 @@ QUERIES = (
     read_sentences, tokens_pos, normalize_width, display_width, char_shape, csv_features, chunk_spans, head_func, chunk_features, distance_bucket, pair_features, feature_dictionary, feature_ids,
     active_features, reranked, sorted_instances, kernel_score, pke_w1, pke_w2, pke_quantise, pke_score, shift_reduce_links, tree_depth, format_lattice, format_tree, format_xml, format_conll,
     read_layer_blocks, iob_repair, iob_spans, numeral_runs, eval_dep, eval_chunk, eval_ne, legacy_to_csv, blank_to_csv, inline_to_iob, realign_chunks, crf_features, viterbi_bi, stream_parse, event_windows, flagship,
+    head_func_tagsets, chunk_features_juman, chunk_features_unidic, format_layers, entity_features, link_examples, merged_dictionary, merged_vectors, trained_links,
 )
 
 
