@@ -145,6 +145,8 @@ def contexts(texts: pa.Array, logs: np.ndarray, run: int) -> tuple[np.ndarray, .
 
 
 FLUSH_POSITIONS, FLUSH_TEXTS = 2_000_000, 60_000
+#: Of text scored at a time: its arrays take some hundred times as much memory.
+EMIT_BYTES = 512 << 10
 CELL = np.dtype([("ctx", "<u4"), ("sym", "<u2"), ("base", "<f2"), ("text", "<u2")])
 COPIES = np.dtype([("text", "<u2"), ("n", "<u4")])
 KEYS = ["shard", "block", "text", "doc_id", "n", "total", "deep", "cells", "copies"]
@@ -162,8 +164,10 @@ def emit(tree, depth: int, run: int, shards: int):
         if not held:
             return
         shard, cell, copies = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         order = np.argsort(shard, kind="stable")
         shard, cell = shard[order], cell[order]
+        del order
         edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
         cells, several = [], []
         for part in np.split(cell, edge[1:]) if len(edge) else []:
@@ -175,7 +179,7 @@ def emit(tree, depth: int, run: int, shards: int):
 
     def run_(batches):
         held, docs, texts, positions, number = [], [], 0, 0, 0
-        for batch in blocks(batches, 2):
+        for batch in blocks(batches, 2, EMIT_BYTES):
             if docs and (positions > FLUSH_POSITIONS or texts + batch.num_rows > FLUSH_TEXTS):
                 yield from going(held, docs, number)
                 held, docs, texts, positions, number = [], [], 0, 0, number + 1
@@ -188,8 +192,10 @@ def emit(tree, depth: int, run: int, shards: int):
                 column = part.column(2).take(pa.array(first))
                 grams, offsets = gram_keys(column, depth + 1)
                 distinct, back = np.unique(grams, return_inverse=True)
+                del grams
                 logs, used = tree.value.score(distinct)
-                logs, used = logs[back], used[back].astype(np.int64)
+                logs, used = logs[back], used[back].astype(np.int32)
+                del distinct, back
                 text, ctx, sym, base = contexts(column, logs, run)
                 cell = np.empty(len(text), CELL)
                 cell["ctx"], cell["sym"], cell["base"], cell["text"] = ctx & U(0xFFFFFFFF), sym & U(0xFFFF), base, text + texts
@@ -219,7 +225,7 @@ def weigh(mu: float, min_count: int, gain: float):
             return pa.table([*(table.column(c) for c in names[:6]), empty, empty], names=names)
         parts = [np.frombuffer(x, CELL) for x in table.column("cells").to_pylist()]
         cell = np.concatenate(parts)
-        row = np.repeat(np.arange(n), [len(x) for x in parts])
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in parts])
         weight = np.ones(len(cell))
         edges = np.cumsum([0] + [len(x) for x in parts])
         for i, x in enumerate(table.column("copies").to_pylist()):
@@ -228,6 +234,7 @@ def weigh(mu: float, min_count: int, gain: float):
                 lookup = np.ones(1 << 16)
                 lookup[some["text"]] = some["n"]
                 weight[edges[i] : edges[i + 1]] = lookup[parts[i]["text"]]
+        del parts
         key = (cell["ctx"].astype(U) << U(16)) | cell["sym"]
         order = np.argsort(key)
         key, base, w = key[order], cell["base"][order].astype(float), weight[order]
@@ -235,6 +242,7 @@ def weigh(mu: float, min_count: int, gain: float):
         pair = np.cumsum(new) - 1
         state_new = np.append(True, (key[1:] >> U(16)) != (key[:-1] >> U(16)))
         state = np.cumsum(state_new) - 1
+        del key, new, state_new, weight
         seen, whole = np.bincount(pair, w)[pair], np.bincount(state, w)[state]
         low = np.exp(base)
         apart = np.log((seen - 1 + mu * low) / (whole - 1 + mu)) - base
