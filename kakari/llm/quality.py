@@ -1,15 +1,17 @@
 """Quality classifier: interpolated modified Kneser-Ney over bytes, trained on trusted text.
 
-Trusted documents are those labelled quality 1 and toxic 0. A bounded sample of them, max_docs_per_lang of each language by
-hash of doc_id, is split: half trains the model, half is held out. Counts, continuation counts, context sums and the
-interpolated probabilities are joins and sums in Spark, sharded by gram; the resulting table, whose size the sample bounds,
-is broadcast up to max_model_rows rows, beyond which documents' distinct grams are joined with it by shuffle instead.
+Trusted documents are those labelled quality 1 and toxic 0. All of them are used, and split in each language by hash of doc_id:
+half trains the model, half is held out, as bounds must come from documents that the model hasn't seen. Counts, continuation
+counts, context sums and the interpolated probabilities are joins and sums in Spark, sharded by gram; the resulting table, which
+grows with the distinct grams of the texts, is broadcast up to max_model_rows rows, beyond which documents' distinct grams are
+joined with it by shuffle instead. Likewise the labelled doc_ids, up to max_broadcast_docs, are sent to where the texts are;
+beyond that a bitmap leaves few other texts to be shuffled.
 A document's perplexity is per byte. Its language's bounds come from the held-out documents: the quantiles low and high of
 their log-perplexity, widened by slack times the distance between the quantiles and the median, and, as the mean over a short
 text scatters more, by z * sigma / sqrt(bytes), sigma being the held-out spread of one byte. Outside, it is rejected.
 
 A mean over a document dilutes a few insults away, so each word is looked at as well. A second model of the same kind is trained
-on a sample of the documents labelled toxic, bounded alike; a word's contrast is its log-probability under that model less
+on the documents labelled toxic, split alike; a word's contrast is its log-probability under that model less
 that under the trusted one, and a document's is that of its worst word. It is rejected above its language's bar: the quantile
 high of the held-out trusted documents' contrasts, widened by slack as above, and, where the quantile low of held-out toxic
 documents lies higher still, halfway to it.
@@ -17,6 +19,9 @@ documents lies higher still, halfway to it.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -38,15 +43,57 @@ TRUSTED, TOXIC = "quality = 1 and toxic = 0", "toxic = 1"
 HELD_TOXIC = 4
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, which: str, max_docs_per_lang: int, one_in: int = 2) -> DataFrame:
-    """(doc_id, lang, held): at most max_docs_per_lang documents of each language with such a label, one in one_in of them held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, which: str, max_docs_per_lang: int | None = None, one_in: int = 2) -> DataFrame:
+    """(doc_id, lang, held): all documents with such a label, or the first max_docs_per_lang of each language by hash of doc_id; one in one_in of each language is held out.
+
+    Ranks are taken inside ranges of hashes, to which the sizes of the ranges before are added, so no task sees a whole language.
+    """
     good = labels.where(which).select("doc_id").distinct()
     known = pick(docs, doc_id="doc_id", lang="lang").where("doc_id is not null").groupBy("doc_id").agg(F.min("lang").alias("lang")).join(good, "doc_id")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.select("doc_id", "lang", F.row_number().over(w).alias("rank")).where(F.col("rank") <= max_docs_per_lang)
+    known = known.select("doc_id", "lang", F.expr("shiftright(xxhash64(doc_id), 54)").alias("range"))
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = known.groupBy("lang", "range").count().select(F.col("lang").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("lang", "range").orderBy(F.xxhash64("doc_id"), "doc_id")
+    placed = known.withColumn("place", F.row_number().over(inside)).join(sizes, F.col("lang").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
+    ranked = placed.select("doc_id", "lang", (F.col("before") + F.col("place")).alias("rank"))
+    if max_docs_per_lang is not None:
+        ranked = ranked.where(F.col("rank") <= max_docs_per_lang)
     return ranked.select("doc_id", "lang", (F.col("rank") % one_in == 0).alias("held"))
 
 
+def perhaps_among(rows: DataFrame, known: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows whose doc_id is in known, and few others: those with equal hashes of so many bits. The bitmap of hashes has 2**bits bits, 8 MB, whatever known has."""
+    h = f"pmod(xxhash64(doc_id), {1 << bits}L)"
+    have = known.groupBy(F.expr(f"bitmap_bucket_number({h})").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({h}))").alias("bits"))
+    at = rows.withColumn("bucket", F.expr(f"bitmap_bucket_number({h})")).withColumn("bit", F.expr(f"bitmap_bit_position({h})"))
+    byte = "cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    return at.join(F.broadcast(have), "bucket").where(F.expr(f"shiftright({byte}, cast(bit % 8 as int)) % 2 = 1")).select(*rows.columns)
+
+
+def quantiles(rows: DataFrame, column: str, at: tuple[float, ...]) -> dict[str, list[float]]:
+    """The exact quantiles of a column, interpolated, by lang and, as "*", of all rows; nulls are left out.
+
+    Values are numbered by a range sort and offsets by partition, so no task holds all of them.
+    """
+    own = rows.where(F.col(column).isNotNull()).select(F.explode(F.array_distinct(F.array("lang", F.lit("*")))).alias("lang"), F.col(column).alias("v"))
+    placed = cut(own.where("lang is not null").orderBy("lang", "v").withColumn("id", F.monotonically_increasing_id()))
+    runs = defaultdict(list)
+    for first, lang, n in sorted(map(tuple, placed.groupBy("lang", F.shiftright("id", 33).alias("p")).agg(F.min("id").alias("first"), F.count("*").alias("n")).select("first", "lang", "n").collect())):
+        runs[lang].append((first, n))
+
+    def place(lang: str, rank: int) -> int:
+        for first, n in runs[lang]:
+            if rank < n:
+                return first + rank
+            rank -= n
+
+    ranks = {lang: [q * (sum(n for _, n in own) - 1) for q in at] for lang, own in runs.items()}
+    ends = {(lang, r): (place(lang, math.floor(r)), place(lang, math.ceil(r))) for lang, own in ranks.items() for r in own}
+    found = {r.id: r.v for r in placed.where(F.col("id").isin(sorted({i for e in ends.values() for i in e}))).collect()} if ends else {}
+    between = lambda r, lo, hi: found[lo] if lo == hi else (math.ceil(r) - r) * found[lo] + (r - math.floor(r)) * found[hi]
+    return {lang: [between(r, *ends[lang, r]) for r in own] for lang, own in ranks.items()}
+
+
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     """From (gram, n) of the highest order: grams (o, gram, p) with their interpolated probability, contexts (o, ctx, g) with the weight of the next lower order.
 
@@ -212,34 +259,30 @@ def joined_scores(texts: DataFrame, model: tuple[DataFrame, DataFrame], contrast
 class Judge:
     """The models trained from docs and labels: score() gives perplexities and contrasts, bounds and bars those of each language."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, max_docs_per_lang: int = 2000, max_model_rows: int = 16_000_000, low: float = 0.01, high: float = 0.99, slack: float = 0.5, z: float = 3.0):
-        def sampled(which: str, one_in: int) -> DataFrame:
-            # at most max_docs_per_lang rows for each language, so small enough to send to every task
-            own = cut(labelled_sample(docs, labels, which, max_docs_per_lang, one_in))
-            return cut(pick(docs, doc_id="doc_id", text="text").join(F.broadcast(own), "doc_id").select("doc_id", "lang", "text", "held"))
-
+    def __init__(self, docs: DataFrame, labels: DataFrame, max_docs_per_lang: int | None = None, max_model_rows: int = 16_000_000, max_broadcast_docs: int = 500_000, low: float = 0.01, high: float = 0.99, slack: float = 0.5, z: float = 3.0):
+        own = [cut(labelled_sample(docs, labels, w, max_docs_per_lang, n)) for w, n in ((TRUSTED, 2), (TOXIC, HELD_TOXIC))]
+        known = own[0].withColumn("toxic", F.lit(False)).unionByName(own[1].withColumn("toxic", F.lit(True)))
+        small = known.count() <= max_broadcast_docs
+        texts = pick(docs, doc_id="doc_id", text="text")
+        # another scan is cheaper than a copy of the texts, another shuffle of them isn't
+        texts = texts.join(F.broadcast(known), "doc_id") if small else cut(perhaps_among(texts, known).join(known, "doc_id"))
         trained = lambda texts: tuple(cut(x) for x in kneser_ney(gram_counts(texts.where("not held"), ORDER)))
-        trusted, toxic = sampled(TRUSTED, 2), sampled(TOXIC, HELD_TOXIC)
-        self.tables, self.contrast = trained(trusted), None if toxic.isEmpty() else trained(toxic)
+        self.tables, self.contrast = trained(texts.where("not toxic")), None if own[1].isEmpty() else trained(texts.where("toxic"))
         tables = [t for t in (self.tables, self.contrast) if t]
         self.models = None
         if sum(x.count() for t in tables for x in t) <= max_model_rows:
             made = [Model(*(x.toArrow() for x in t)) for t in tables]
             self.models = docs.sparkSession.sparkContext.broadcast((made[0], made[1] if self.contrast else None))
-        held = [cut(self.score(x.where("held").select(F.col("doc_id").alias("id"), "lang", "text"))).where("log_ppl is not null") for x in (trusted, toxic)]
-
-        def quantiles(rows: DataFrame, column: str) -> dict:
-            at = F.percentile(column, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias("q")
-            found = [*rows.groupBy("lang").agg(at).collect(), *rows.agg(F.lit("*").alias("lang"), at).collect()]
-            return {r.lang: r.q for r in found if r.q and r.lang is not None}
+        held = [cut(self.score(x.select(F.col("doc_id").alias("id"), "lang", "text"))).where("log_ppl is not null") for x in (texts.where("held and not toxic"), texts.where("held and toxic"))]
 
-        own = quantiles(held[0], "log_ppl")
+        at = (low, 0.5, high)
+        own = quantiles(held[0], "log_ppl", at)
         self.bounds = {k: (q[0] - slack * (q[1] - q[0]), q[2] + slack * (q[2] - q[1])) for k, q in own.items()}
         middle = own["*"][1] if "*" in own else 0.0
         spread = held[0].agg(F.stddev_pop((F.col("log_ppl") - middle) * F.sqrt("n_bytes"))).first()[0]
         self.margin = z * (spread or 0.0)
-        self.bars = {k: q[2] + slack * (q[2] - q[1]) for k, q in quantiles(held[0], "contrast").items()} if self.contrast else {}
-        worst = quantiles(held[1], "contrast") if self.bars else {}
+        self.bars = {k: q[2] + slack * (q[2] - q[1]) for k, q in quantiles(held[0], "contrast", at).items()} if self.contrast else {}
+        worst = quantiles(held[1], "contrast", at) if self.bars else {}
         for k, bar in self.bars.items():
             least = (worst.get(k) or worst.get("*") or [bar])[0]
             self.bars[k] = max(bar, (bar + least) / 2)
