@@ -20,7 +20,7 @@ def by_batch(made, texts=ODD_TEXTS):
     return made(b.Piece(b.Words(), pa.array(range(len(texts))), texts))
 
 
-BATCHED = ["crf_features", "entity_features"]
+BATCHED = ["crf_features", "entity_features", "format_layers"]
 
 
 @pytest.mark.parametrize("name", BATCHED)
