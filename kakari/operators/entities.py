@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,21 @@ def repair(tags: Column, tail: Column | None = None, compat: bool = False) -> Co
     return F.aggregate(rows, F.array().cast("array<string>"), step)
 
 
+def repair_lines(tags: np.ndarray, names: tuple[str, ...], off: np.ndarray) -> np.ndarray:
+    """repair() for whole batches: tags are numbers in names, lines lie from one place in off to the next. names must hold the B of every I."""
+
+    def fixed(previous, t):
+        clash = previous is not None and previous[:1] == "I" and len(t) >= 3 and len(previous) >= 3 and t[2:] != previous[2:]
+        return "B" + t[1:] if t[:1] == "I" and (previous is None or clash) else t
+
+    number = {n: i for i, n in enumerate(names)}
+    at_start = [number[fixed(None, t)] for t in names]
+    steps = [[number[fixed(previous, t)] for t in names] + at_start for previous in names]
+    given = np.array(tags, np.int64)
+    given[off[:-1][np.diff(off) > 0]] += len(names)  # the first of a line
+    return np.fromiter(accumulate(given.tolist(), lambda s, t: steps[s][t], initial=0), np.int64, len(given) + 1)[1:]
+
+
 def spread(decoded: Column, tail: Column) -> Column:
     """Tags for all tokens from those of the tagger's rows: a token that continues a numeral run takes its row's tag, for repair() to set."""
 

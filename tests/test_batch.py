@@ -20,9 +20,18 @@ def by_batch(made, texts=ODD_TEXTS):
     return made(b.Piece(b.Words(), pa.array(range(len(texts))), texts))
 
 
-BATCHED = ["crf_features", "entity_features", "format_layers"]
+BATCHED = ["crf_features", "entity_features", "format_layers", "iob_spans"]
 
 
 @pytest.mark.parametrize("name", BATCHED)
 def test_no_lambdas_in_the_plan(spark, sf, name):
     assert "lambda" not in queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entity_lists_score_as_spans_do(spark):
+    """Lines that one side lacks, spans that differ in type or size, and none at all."""
+    sides = [{0: [("X", 0, 2), ("Y", 3, 1)], 1: [("X", 0, 1)], 2: [("Y", 5, 2)]}, {0: [("X", 0, 2), ("X", 3, 1)], 2: [("Y", 5, 3)], 3: [("X", 1, 1)]}]
+    flat = [spark.createDataFrame([(k, *x) for k, xs in s.items() for x in xs], "s int, category string, start int, size int") for s in sides]
+    lists = [spark.createDataFrame([(k, *map(list, zip(*xs))) for k, xs in s.items()], "s int, categories array<string>, starts array<int>, sizes array<int>") for s in sides]
+    rows = [sorted(map(tuple, d.collect())) for d in (evaluate.entity_scores_lists(*lists, "s"), evaluate.entity_scores(*flat, "s"))]
+    assert rows[0] == rows[1] and len(rows[0]) == 4
