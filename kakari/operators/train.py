@@ -18,6 +18,8 @@ from kakari.operators.pairs import pair_features
 from kakari.operators.sequence import CHUNK_TEMPLATES, ENTITY_TEMPLATES, SequenceModel, chunk_labels, chunk_rows, template_features, train_sequence
 
 EPS, MAX_ITERATIONS = 0.1, 5000
+#: Places of ids and pairs that solve() keeps, of 4 bytes each.
+MOST_CELLS = 1 << 28
 
 
 def link_examples(df: DataFrame, *keys: str) -> DataFrame:
@@ -75,18 +77,30 @@ def _keys(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], x + 1, ((x[i] + 1) << 32) | (x[j] + 1)])
 
 
-def solve(y: np.ndarray, x: list[np.ndarray], cost: float, alpha: np.ndarray | None = None, seed: int = 0, eps: float = EPS, max_iterations: int = MAX_ITERATIONS) -> tuple[np.ndarray, Stats]:
+class _LookedUp:
+    def __init__(self, x, look_up):
+        self.x, self.look_up = x, look_up
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.look_up(self.x[i])
+
+
+def solve(y: np.ndarray, x: list[np.ndarray], cost: float, alpha: np.ndarray | None = None, seed: int = 0, eps: float = EPS, max_iterations: int = MAX_ITERATIONS, most_cells: int = MOST_CELLS) -> tuple[np.ndarray, Stats]:
     """Coefficients of the L1-loss dual with the kernel (common + 1)^2, by coordinate descent over explicit primal weights.
 
     Bound examples that can't move are set aside until the rest has converged; then all are gone through again. Examples are
     visited in a random order that follows from seed. alpha gives a warm start.
+
+    All examples count. The places of their ids and pairs in w are kept up to most_cells of them, and looked up at each visit beyond, so
+    memory follows the distinct pairs and the ids of the examples, not the square of these.
     """
     x = [np.sort(np.asarray(v, np.int64)) for v in x]
     n = len(x)
-    names, at = np.unique(np.concatenate([_keys(v) for v in x]) if n else np.zeros(0, np.int64), return_inverse=True)
-    sizes = np.array([1 + len(v) + len(v) * (len(v) - 1) // 2 for v in x])
-    ends = np.cumsum(sizes)
-    cells = [at[e - s : e] for s, e in zip(sizes, ends)]
+    names = np.zeros(0, np.int64)
+    for k in range(0, n, 1 << 12):
+        names = np.union1d(names, np.concatenate([_keys(v) for v in x[k : k + (1 << 12)]]))
+    look_up = lambda v: np.searchsorted(names, _keys(v)).astype(np.int32)
+    cells = [look_up(v) for v in x] if sum(1 + len(v) * (len(v) + 1) // 2 for v in x) <= most_cells else _LookedUp(x, look_up)
     scale = np.where(names == 0, 1.0, np.where(names >> 32 == 0, 3.0, 2.0))
     w = np.zeros(len(names))
     alpha = np.zeros(n) if alpha is None else np.array(alpha, float)
@@ -131,11 +145,11 @@ def solve(y: np.ndarray, x: list[np.ndarray], cost: float, alpha: np.ndarray | N
     return alpha, stats
 
 
-def train_links(df: DataFrame, *keys: str, cost: float = 0.0015, freq: int = 1, tags: str | PosSet = "IPA", max_examples: int = 1_000_000, seed: int = 0, previous: tuple[DataFrame, DataFrame] | None = None):
+def train_links(df: DataFrame, *keys: str, cost: float = 0.0015, freq: int = 1, tags: str | PosSet = "IPA", seed: int = 0, previous: tuple[DataFrame, DataFrame] | None = None):
     """(params, dic, sv, Stats) of the link model from sentences at the chunk layer with gold links.
 
-    Examples, dictionary and ids are made in Spark over all sentences; coordinate descent is sequential and runs on the driver, over
-    at most max_examples examples by hash of their key (a bound on the trainer's memory, beyond which the others aren't used).
+    Examples, dictionary and ids are made in Spark over all sentences; coordinate descent is sequential and runs on the driver, over all
+    examples, in the order of a hash of their key.
     previous gives a model whose support vectors start as examples with their coefficients.
     """
     ps = posset(tags)
@@ -145,12 +159,13 @@ def train_links(df: DataFrame, *keys: str, cost: float = 0.0015, freq: int = 1,
     counts = examples.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= freq)
     dic = m.ranked(counts, "id", F.col("n").desc(), F.col("feature")).select("feature", "id")
     ids = m.to_ids(examples, dic, *names).join(examples.select(*names, "label"), names)
-    rows = ids.where("size(x) > 0").select("label", "x", F.xxhash64(*names).alias("h"), *names).orderBy("h", *names).limit(max_examples).collect()
-    y, x = np.array([r.label for r in rows], float), [np.array(r.x, np.int64) for r in rows]
-    start = np.zeros(len(rows))
+    rows = ids.where("size(x) > 0").select("label", "x", F.xxhash64(*names).alias("h"), *names).orderBy("h", *names).select("label", "x").toArrow()
+    lists = rows.column("x").combine_chunks()
+    y, x = rows.column("label").to_numpy().astype(float), np.split(lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()) if len(rows) else []
+    start = np.zeros(len(x))
     if previous is not None:
         old_dic, old_sv = previous
-        new_sv = spark.createDataFrame([(i, float(r.label), list(r.x)) for i, r in enumerate(rows)], "sv_id int, alpha double, x array<int>")
+        new_sv = spark.createDataFrame([(i, float(label), own.tolist()) for i, (label, own) in enumerate(zip(y, x))], "sv_id int, alpha double, x array<int>")
         dic, every = m.merge((old_dic, old_sv), (dic, new_sv))
         n_old = old_sv.count()
         merged = every.orderBy("sv_id").collect()

@@ -53,3 +53,35 @@ def test_examples_of_a_long_line_are_those_of_the_expressions(spark):
     want = {(r.id, r.src, r.dst, r.label, "|".join(r.features)) for r in train.link_examples(df, "id").collect()}
     got = by_batch(lambda p: set(pairs.examples(p.chunks, p.chunks.features(IPA, ASCII_PUNCTUATION, 128), passed(p.chunks)[0])), texts)
     assert got == want and len(want) > 50
+
+
+def test_model_links_are_those_of_link_sentences(spark):
+    """Under weights of frequent ids, of rare ones and of their pairs."""
+    from kakari.functions.patterns import ASCII_PUNCTUATION, IPA
+    from kakari.operators import batch_pairs as pairs
+    from kakari.operators.chunks import chunk_by, select
+    from kakari.operators.links import link_sentences
+    from kakari.operators.tokens import tokenize
+    from kakari.plans.queries import passed
+
+    known = by_batch(lambda p: sorted({f for x in pairs.examples(p.chunks, p.chunks.features(IPA, ASCII_PUNCTUATION, 128), passed(p.chunks)[0]) for f in x[4].split("|")}))
+    rng = np.random.default_rng(3)
+    n, low = len(known), len(known) // 2
+    rare = {(int(i), int(j)): int(w) for i, j, w in zip(rng.integers(0, low, 400), rng.integers(low, n, 400), rng.integers(-9, 10, 400))}
+    model = m.PairModel({f: i for i, f in enumerate(known)}, 3, rng.integers(-20, 21, n), np.triu(rng.integers(-3, 4, (low, low)), 1).astype(np.int32), rare, 0.5)
+    df = select(chunk_by(tokenize(spark.createDataFrame(list(enumerate(ODD_TEXTS)), "id int, sentence string"))), IPA, ASCII_PUNCTUATION)
+    want = [c.link for r in link_sentences(df, model).orderBy("id").collect() for c in r.chunks]
+    assert by_batch(lambda p: pairs.model_links(p.chunks, p.chunks.features(IPA, ASCII_PUNCTUATION, 128), model).tolist()) == want
+    assert len(set(want)) > 20
+
+
+def test_training_uses_every_example():
+    assert "max_examples" not in inspect.signature(train.train_links).parameters and ".limit(" not in inspect.getsource(train.train_links)
+
+
+def test_places_looked_up_give_the_same_model():
+    rng = np.random.default_rng(5)
+    x = [np.sort(rng.choice(40, 6, replace=False)) for _ in range(60)]
+    y = np.where(np.array([v.sum() for v in x]) % 2 == 0, 1.0, -1.0)
+    kept, looked_up = (train.solve(y, x, 0.05, most_cells=k)[0] for k in (1 << 28, 0))
+    assert (kept == looked_up).all() and kept.any()
