@@ -41,10 +41,23 @@ def dictionary(features: DataFrame, column: str = "feature") -> DataFrame:
     return ranked(counts, "id", F.col("n").desc(), F.col("feature"))
 
 
+def dictionary_of(counts: DataFrame) -> DataFrame:
+    """dictionary() from partial counts (feature, n), whose features may come several times."""
+    return ranked(counts.groupBy("feature").agg(F.sum("n").alias("n")), "id", F.col("n").desc(), F.col("feature"))
+
+
 #: Tables up to this many bytes are broadcast to the stages that score; larger ones are joined.
 MAX_BROADCAST = 128 << 20
 
 
+def shared_ids(dic: DataFrame, max_broadcast: int = MAX_BROADCAST):
+    """A dictionary within max_broadcast bytes as a broadcast dict from feature to id; None for a larger one."""
+    if (dic.agg(F.sum(F.octet_length("feature") + 12)).first()[0] or 0) > max_broadcast:
+        return None
+    table = dic.select("feature", F.col("id").cast("int")).toArrow()
+    return dic.sparkSession.sparkContext.broadcast(dict(zip(table.column("feature").to_pylist(), table.column("id").to_pylist())))
+
+
 def to_ids(rows: DataFrame, dic: DataFrame, *keys: str, features: str = "features", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(keys, x): the sorted distinct ids of each row's features; unknown ones are dropped, a row without known ones has an empty x.
 
@@ -142,7 +155,11 @@ def kernel_scores(instances: DataFrame, sv: DataFrame, key: str = "id", max_broa
 
         def score(ids):
             square, alpha = shared.value
-            common = square[np.minimum(ids, len(square) - 1)].sum(0, dtype=np.int64)
+            at = np.minimum(ids, len(square) - 1)
+            # sums of up to 255 rows fit a byte, and bytes are added many at a time
+            common = np.zeros(square.shape[1], np.int64)
+            for a in range(0, len(at), 255):
+                common += square[at[a : a + 255]].sum(0, dtype=np.uint8)
             return (float((alpha * (common + 1) ** 2).sum()),)
 
         return scored(instances, key, [StructField("score", DoubleType())], score)

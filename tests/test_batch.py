@@ -20,7 +20,7 @@ def by_batch(made, texts=ODD_TEXTS):
     return made(b.Piece(b.Words(), pa.array(range(len(texts))), texts))
 
 
-BATCHED = ["crf_features", "entity_features", "format_layers", "iob_spans", "pair_features", "link_examples", "distance_bucket", "shift_reduce_links"]
+BATCHED = ["crf_features", "entity_features", "format_layers", "iob_spans", "pair_features", "link_examples", "distance_bucket", "shift_reduce_links", "kernel_score", "feature_ids"]
 
 
 @pytest.mark.parametrize("name", BATCHED)
@@ -85,3 +85,15 @@ def test_places_looked_up_give_the_same_model():
     y = np.where(np.array([v.sum() for v in x]) % 2 == 0, 1.0, -1.0)
     kept, looked_up = (train.solve(y, x, 0.05, most_cells=k)[0] for k in (1 << 28, 0))
     assert (kept == looked_up).all() and kept.any()
+
+
+def test_partial_counts_make_the_same_dictionary(spark):
+    df = spark.createDataFrame([(x,) for x in "b a a c b d a".split()], "feature string")
+    parts = spark.createDataFrame([("a", 2), ("b", 1), ("c", 1), ("b", 1), ("a", 1), ("d", 1)], "feature string, n long")
+    assert sorted(map(tuple, m.dictionary_of(parts).select("feature", "id", "n").collect())) == sorted(map(tuple, m.dictionary(df).select("feature", "id", "n").collect()))
+
+
+def test_kernel_of_more_ids_than_a_byte_counts(spark):
+    sv = spark.createDataFrame([(0, 0.5, list(range(600))), (1, -1.0, [3])], "sv_id int, alpha double, x array<int>")
+    got = m.kernel_scores(spark.createDataFrame([(7, list(range(100, 700)))], "id int, x array<int>"), sv).first().score
+    assert got == 0.5 * 501**2 - 1.0
