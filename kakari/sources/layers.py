@@ -6,9 +6,16 @@ the chunk's tokens; EOS or an empty line ends the block.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
+from kakari.functions import plain
 from kakari.functions.text import let, split_csv, split_max, to_number
 from kakari.operators.tokens import make_token
 from kakari.schema import CHUNK, POS, RAW, chunk, joined_surface, no_strings
@@ -109,3 +116,68 @@ def read_layer(blocks: DataFrame, layer: int = CHUNK, text: str = "text", mode:
     if mode == "FAILFAST":
         return parsed.withColumn("is_valid", F.when(F.col("is_valid"), True).otherwise(F.raise_error(F.concat(F.lit("malformed block: "), F.left(F.col(text), F.lit(80))))))
     return parsed
+
+
+_NUMBER, _SOUND = re.compile("[-+]?[0-9]+"), re.compile("[-0-9]")
+CHUNK_ROWS = "chunk_id int, is_valid boolean, link int, head_pos int, func_pos int, token_pos int, token_size int, score float, features array<string>"
+
+
+def _int_of(x: str) -> int:
+    """The integer a text begins with, 0 where there is none or it is beyond an int."""
+    found = _NUMBER.match(x)
+    n = int(found.group(0)) if found else 0
+    return n if -(1 << 31) <= n < 1 << 31 else 0
+
+
+def _score_of(x: str) -> float:
+    try:
+        return float(x)
+    except ValueError:
+        return 0.0
+
+
+def block_chunks(text: str | None) -> tuple[list[tuple], bool]:
+    """The chunks of a block's text in a layer from that of chunks on, and whether the block is valid, by the rules of parse_block()."""
+    marks, n_rows, sound = [], 0, True
+    for line in (text or "").split("\n"):
+        if line.startswith("* ") and len(line) >= 3:
+            c = line.split(" ")[:8]
+            if len(c) >= 3 and _SOUND.match(c[1]):
+                marks.append((n_rows - len(marks), c))
+            else:
+                sound = False
+        else:
+            c = line.split("\t", 2)
+            if len(c) < 2 or not c[0] or not c[1]:
+                break
+        n_rows += 1
+    # faulty chunk lines are no tokens
+    size = n_rows - len(marks) if sound else sum(1 for line in (text or "").split("\n")[:n_rows] if not (line.startswith("* ") and len(line) >= 3))
+    chunks, valid = [], sound
+    for i, (before, c) in enumerate(marks):
+        end = marks[i + 1][0] if i + 1 < len(marks) else size
+        pair = c[3].split("/") if len(c) > 3 else ["0", "0"]
+        link = _int_of(c[2])
+        chunks.append((link, _int_of(pair[0]), _int_of(pair[1]) if len(pair) > 1 else 0, before, end - before, _score_of(c[4]) if len(c) > 4 else 0.0, plain.split_csv(c[5]) if len(c) > 5 else []))
+        valid = valid and end > before and -1 <= link < len(marks) and _int_of(c[1]) == i
+    return chunks, valid
+
+
+def read_chunks(blocks: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, chunk_id, is_valid and what is known of the chunk) of every chunk of blocks, read by read_layer()'s rules a batch at a time; invalid blocks are marked."""
+    own = blocks.select(*keys, text)
+    schema = StructType(own.schema.fields[: len(keys)] + _parse_datatype_string(CHUNK_ROWS).fields)
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float32(), pa.list_(pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1 << 10):
+                batch = whole.slice(a, 1 << 10)
+                found = [block_chunks(x) for x in batch.column(len(keys)).to_pylist()]
+                sizes = np.array([len(x) for x, _ in found])
+                at = pa.array(np.repeat(np.arange(len(found)), sizes))
+                ids = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                columns = list(zip(*(c for x, _ in found for c in x))) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), pa.array(ids.astype(np.int32)), pa.array([v for _, v in found], pa.bool_()).take(at), *(pa.array(c, t) for c, t in zip(columns, kinds))], schema.names)
+
+    return own.mapInArrow(run, schema)

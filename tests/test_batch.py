@@ -20,7 +20,7 @@ def by_batch(made, texts=ODD_TEXTS):
     return made(b.Piece(b.Words(), pa.array(range(len(texts))), texts))
 
 
-BATCHED = ["crf_features", "entity_features", "format_layers", "iob_spans", "pair_features", "link_examples", "distance_bucket", "shift_reduce_links", "kernel_score", "feature_ids"]
+BATCHED = ["crf_features", "entity_features", "format_layers", "iob_spans", "pair_features", "link_examples", "distance_bucket", "shift_reduce_links", "kernel_score", "feature_ids", "read_layer_blocks"]
 
 
 @pytest.mark.parametrize("name", BATCHED)
@@ -97,3 +97,16 @@ def test_kernel_of_more_ids_than_a_byte_counts(spark):
     sv = spark.createDataFrame([(0, 0.5, list(range(600))), (1, -1.0, [3])], "sv_id int, alpha double, x array<int>")
     got = m.kernel_scores(spark.createDataFrame([(7, list(range(100, 700)))], "id int, x array<int>"), sv).first().score
     assert got == 0.5 * 501**2 - 1.0
+
+
+def test_blocks_are_read_as_by_the_expressions(spark):
+    """Sound blocks, and ids out of order, chunks without tokens, links out of range, faulty chunk lines, broken lines and numbers."""
+    from kakari.sources.layers import read_chunks, read_layer
+
+    token = "a\tx,y\n"
+    blocks = ["* 0 1D 0/0 1.500000\n" + token + "* 1 -1D 1/1 -0.5 f,\"g,h\"\n" + token * 2, token, "", None, "* 1 -1D\n" + token, "* 0 5D\n" + token, "* 0 -1D\n* 1 -1D\n" + token, "* x yD\n" + token + "* 0 -1D 2\n" + token, "* 0 99999999999D /3 z\n" + token + "broken\n* 1 0D\n" + token, "* 0\n" + token, "* \n" + token]
+    df = spark.createDataFrame(list(enumerate(blocks)), "id int, text string")
+    columns = "link head_pos func_pos token_pos token_size score features".split()
+    flat = read_layer(df, 4).select("id", F.posexplode("chunks").alias("chunk_id", "c"), "is_valid").select("id", "chunk_id", "is_valid", *(f"c.{x}" for x in columns))
+    rows = [sorted(map(str, d.select("id", "chunk_id", "is_valid", *columns).collect())) for d in (read_chunks(df, "id"), flat)]
+    assert rows[0] == rows[1] and len(rows[0]) >= 8
