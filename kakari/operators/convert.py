@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,31 @@ def blank_separated_to_csv(line: Column) -> Column:
     return F.when(F.startswith(line, F.lit("#")), F.lit(None)).when(line == "EOS", "EOS").when(F.startswith(line, F.lit("*")), line).otherwise(let(F.split(F.trim(line), "[ \\t]+"), moved))
 
 
+def legacy_line(line: str) -> str:
+    """legacy_to_csv() for one line."""
+    if "EOS" in line:
+        return "EOS"
+    if line.startswith("*"):
+        return line
+    c = line.split("\t")
+    at = lambda i: c[i] if i < len(c) else ""
+    levels = [x for x in at(3).split("-") if x] + ["*"] * 4
+    return "\t".join([at(0), ",".join([*levels[:4], at(4) or "*", at(5) or "*", at(2), at(1)]), at(6)])
+
+
+def blank_separated_line(line: str) -> str | None:
+    """blank_separated_to_csv() for one line."""
+    if line.startswith("#"):
+        return None
+    if line == "EOS":
+        return "EOS"
+    if line.startswith("*"):
+        return line
+    c = re.split("[ \\t]+", line.strip(" "))
+    at = lambda i: c[i] if i < len(c) else ""
+    return at(0) + "\t" + ",".join([at(3), at(4), at(5), at(6), at(0) if at(2) == "*" else at(2), at(1), "*"])
+
+
 _TAG = "<(" + "|".join([*ENTITY_NAMES, "OPTIONAL"]) + ")[^>]*>(.+?)</\\1>"
 
 
@@ -112,3 +140,35 @@ def realign(chunks: DataFrame, morphs: DataFrame, *keys: str) -> DataFrame:
         return F.struct(i.alias("new_id"), link.alias("link"), x["c"]["kind"].alias("kind"), x["c"]["chunk_id"].alias("src"), (before + 1).alias("first_tok"), (x["tok_id"] - before).alias("n_tokens"))
 
     return whole.select(*keys, F.explode(let(F.col("r"), lambda r: F.transform(r, lambda x, i: one(x, i, r)))).alias("x")).select(*keys, "x.*")
+
+
+def _stops(sent: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Where each piece ends in its line, with the line in the upper half; lines follow each other."""
+    total = np.cumsum(length)
+    first = np.flatnonzero(np.diff(sent, prepend=-1)) if len(sent) else np.zeros(0, np.int64)
+    before = np.repeat(total[first] - length[first], np.diff(np.append(first, len(sent))))
+    return (sent.astype(np.int64) << 32) + total - before
+
+
+def realign_lines(chunks: tuple, morphs: tuple) -> tuple[np.ndarray, ...]:
+    """realign() for whole batches: chunks (line, chunk_id, length, link) and morphs (line, tok_id, length) of one batch, in order.
+
+    Gives line, new_id, link, src, first_tok, n_tokens.
+    """
+    (sent, ids, length, was), (m_sent, toks, m_length) = chunks, morphs
+    stops, m_stops = _stops(sent, length), _stops(m_sent, m_length)
+    # several chunks or tokens of length 0 may end at one place; the last counts
+    last, m_last = (np.flatnonzero(np.append(np.diff(x) != 0, True)[: len(x)]) for x in (stops, m_stops))
+    _, i, j = np.intersect1d(stops[last], m_stops[m_last], assume_unique=True, return_indices=True)
+    i, j = last[i], m_last[j]
+    sent, src, tok, was = sent[i].astype(np.int64), ids[i], toks[j], was[i]
+    first = np.flatnonzero(np.diff(sent, prepend=-1))
+    begin = np.repeat(first, np.diff(np.append(first, len(sent))))
+    before = np.full(len(tok), -1, np.int64)
+    before[1:] = np.where(sent[1:] == sent[:-1], tok[:-1], -1)
+    # the first new chunk of the line whose src isn't before the old head
+    keys = (sent << 32) + src
+    found = np.searchsorted(keys, (sent << 32) + was)
+    inside = (found < len(sent)) & (sent[np.minimum(found, max(len(sent) - 1, 0))] == sent) if len(sent) else np.zeros(0, bool)
+    link = np.where((was == -1) | ~inside, -1, found - begin)
+    return sent, *(x.astype(np.int32) for x in (np.arange(len(sent)) - begin, link, src, before + 1, tok - before))
